@@ -109,3 +109,40 @@ def prefix_sums(numbers: Column, block: int = 256) -> Column:
         )
 
     return F.when(F.size(numbers) == 0, F.array().cast("array<bigint>")).otherwise(let(numbers, of))
+
+
+def bounded_batches(spark: SparkSession, rows: int = 256) -> None:
+    """Let Arrow batches hold at most ``rows`` rows, so that very long texts fit a worker."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key, "10000")) > rows:
+        spark.conf.set(key, str(rows))
+
+
+def map_rows(df: DataFrame, inputs: list[str], fn: Callable, new: str, drop: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` with the columns of the DDL ``new``: ``fn()`` is called once per task and gives a
+    function from lists of the input columns to a list of tuples.
+
+    All other columns pass through as Arrow arrays, nulls and nested types included; input
+    columns that clash with new ones, and those in ``drop``, go.  No shuffle.
+    """
+    from pyspark.sql import types as T
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    added = T._parse_datatype_string(new)
+    gone = {n.lower() for n in (*added.names, *drop)}
+    kept = [k for k, f in enumerate(df.schema.fields) if f.name.lower() not in gone]
+    at = [df.schema.names.index(c) for c in inputs]
+    schema = T.StructType([df.schema.fields[k] for k in kept] + added.fields)
+
+    def run(batches):
+        import pyarrow as pa
+
+        work, arrow = fn(), to_arrow_schema(added)
+        for b in batches:
+            rows = work(*[b.column(k).to_pylist() for k in at])
+            columns = list(zip(*rows)) if rows else [()] * len(added.fields)
+            made = [pa.array(list(c), type=f.type) for c, f in zip(columns, arrow)]
+            yield pa.RecordBatch.from_arrays([b.column(k) for k in kept] + made, names=schema.names)
+
+    bounded_batches(df.sparkSession)
+    return df.mapInArrow(run, schema)

@@ -15,71 +15,85 @@ from .common import WS_CHARS, let
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 MAX_LOST = 0.5
-#: A line this short must end like a sentence.
-SHORT_LINE_WORDS = 6
+#: A line with fewer characters must end like a sentence.
+SHORT_LINE = 40
 # Patterns that Java's and RE2's regular expressions read alike.
 WORD_BREAK = r"[\x20\x09-\x0D]+"
-SYMBOLS = "#*$%&|<>"
+SYMBOLS = r"[#*$%&|<>]"
 SENTENCE_END = r"""[.!?\x22'):;\x{2026}\x{201D}\x{00BB}]$"""
-SHOUTED = r"[!?]{2}"
+SHOUTED = r"!!|\?\?"
 NAV_MARK = r"[|\x{00BB}\x{203A}\x{2022}]"
 BOILERPLATE = (
-    r"(?i)(all rights reserved|privacy policy|terms of (use|service)|cookie policy|accept (all )?cookies|"
-    r"enable javascript|click here|sign in|log in|subscribe (now|to)|follow us|share this|lorem ipsum|skip to (main )?content)"
-)
+    "rights reserved", "privacy policy", "terms of use", "terms of service", "cookie policy", "enable javascript", "click here", "subscribe to our",
+    "lorem ipsum", "skip to content",
+)
 
 
 def words_of(text: Column) -> Column:
-    return F.filter(F.split(text, WORD_BREAK), lambda w: w != "")
+    return F.array_remove(F.split(text, WORD_BREAK), "")
 
 
-def _squeezed(text: Column) -> Column:
-    return F.translate(text, WS_CHARS, "")
+def _stripped(line: Column) -> Column:
+    return F.trim(line, F.lit(WS_CHARS))
 
 
-def repeated_words(words: Column) -> Column:
-    """Words that lie in a three-word window found twice or more, each counted once."""
+def _any(text: Column, phrases) -> Column:
+    found = F.lit(False)
+    for p in phrases:
+        found = found | F.contains(text, F.lit(p))
+    return found
 
-    def of(ws: Column) -> Column:
-        grams = F.transform(
-            F.sequence(F.lit(0), F.size(ws) - 3),
-            lambda i: F.concat_ws(" ", F.get(ws, i), F.get(ws, i + 1), F.get(ws, i + 2)),
-        )
-        return let(grams, repeated)
 
-    def repeated(gs: Column) -> Column:
-        # Sorting is left out for the many texts in which no window repeats.
-        ordered = F.sort_array(F.transform(gs, lambda g, i: F.struct(g.alias("g"), i.alias("i"))))
+def repeated_words(words: Column) -> Column:
+    """Words that lie in a three-word window found twice or more, each counted once.
 
-        def covered(s: Column) -> Column:
-            twice = F.filter(
-                s,
-                lambda x, k: F.coalesce(F.get(s, k - 1)["g"] == x["g"], F.lit(False))
-                | F.coalesce(F.get(s, k + 1)["g"] == x["g"], F.lit(False)),
-            )
-            spread = F.flatten(F.transform(twice, lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2)))
-            return F.size(F.array_distinct(spread))
+    Windows of one text are told apart by 64-bit hashes.
+    """
 
-        return F.when(F.size(F.array_distinct(gs)) == F.size(gs), F.lit(0)).otherwise(let(ordered, covered))
+    def grams(ws: Column) -> Column:
+        n, pair = F.size(ws), lambda a, b: F.xxhash64(a, b)
+        return F.slice(F.zip_with(F.zip_with(ws, F.slice(ws, 2, n), pair), F.slice(ws, 3, n), pair), 1, n - 2)
+
+    def repeated(gs: Column) -> Column:
+        # A sorted array of hash prefixes with positions: longs sort several times faster than structs.
+        # A text of more than a million words keeps whole hashes.
+        bits = 20
+        packed = F.sort_array(F.transform(gs, lambda g, i: F.shiftleft(F.shiftright(g, bits), bits).bitwiseOR(i.cast("long"))))
+        whole = F.sort_array(F.transform(gs, lambda g, i: F.struct(g.alias("g"), i.alias("i"))))
+        prefix = lambda x: F.shiftright(x, bits)
+        short = let(packed, lambda s: _covered(s, prefix, lambda x: x.bitwiseAND(F.lit((1 << bits) - 1)).cast("int")))
+        alone = F.size(F.array_distinct(gs)) == F.size(gs)
+        return F.when(alone, 0).when(F.size(gs) < (1 << bits), short).otherwise(let(whole, lambda s: _covered(s, lambda x: x["g"], lambda x: x["i"])))
+
+    return F.when(F.size(words) < 3, F.lit(0)).otherwise(let(words, lambda ws: let(grams(ws), repeated)))
+
+
+def _covered(ordered: Column, key, position) -> Column:
+    """Words in windows whose key an array neighbour shares."""
+    twice = F.filter(
+        ordered,
+        lambda x, k: F.coalesce(key(F.get(ordered, k - 1)) == key(x), F.lit(False)) | F.coalesce(key(F.get(ordered, k + 1)) == key(x), F.lit(False)),
+    )
+    return F.size(F.array_distinct(F.flatten(F.transform(twice, lambda x: F.array(position(x), position(x) + 1, position(x) + 2)))))
 
-    return F.when(F.size(words) < 3, F.lit(0)).otherwise(let(words, of))
 
+def bad_line(raw: Column, symbols: Column, shouts: Column, marks: Column, phrases: Column) -> Column:
+    """True if a line with a word breaks a rule.
 
-def bad_line(line: Column) -> Column:
-    """True if a line with at least one word breaks a rule."""
-    return let(F.trim(F.translate(line, "\t\x0b\x0c\r", "    ")), _breaks)
+    The other arguments say whether the whole text has a symbol, shout, mark or phrase at
+    all; where it has none, its lines need not be searched for one.
+    """
 
+    def breaks(line: Column) -> Column:
+        n_words = F.size(F.filter(F.split(line, WORD_BREAK), lambda w: w != ""))
+        few = (F.length(line) < SHORT_LINE) & ~line.rlike(SENTENCE_END)
+        noisy = symbols & (F.regexp_count(line, F.lit(SYMBOLS)) * 10 > F.length(line))
+        loud = shouts & (F.regexp_count(line, F.lit(SHOUTED)) * 4 > n_words)
+        menu = marks & (F.regexp_count(line, F.lit(NAV_MARK)) * 3 > n_words)
+        stock = phrases & let(F.lower(line), lambda low: _any(low, BOILERPLATE))
+        return few | noisy | loud | menu | stock
 
-def _breaks(line: Column) -> Column:
-    n_words = F.size(F.filter(F.split(line, r"\x20+"), lambda w: w != ""))
-    n_symbols = F.length(line) - F.length(F.translate(line, SYMBOLS, ""))
-    punctuation = (
-        ((n_words < SHORT_LINE_WORDS) & ~line.rlike(SENTENCE_END))
-        | (n_symbols * 10 > F.length(line))
-        | (F.regexp_count(line, F.lit(SHOUTED)) * 4 > n_words)
-    )
-    navigation = F.regexp_count(line, F.lit(NAV_MARK)) * 3 > n_words
-    return punctuation | navigation | line.rlike(BOILERPLATE)
+    return let(_stripped(raw), breaks)
 
 
 def clean_lines(
@@ -96,20 +110,28 @@ def clean_lines(
     ones are replaced.  Work is per row; nothing is shuffled.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    d = docs.withColumns({"__t": text, "__w": words_of(text), "__l": F.filter(F.split(text, "\n"), lambda x: _squeezed(x) != "")})
+    d = docs.withColumns({"__w": words_of(text), "__l": F.filter(F.split(text, "\n"), lambda x: _stripped(x) != "")})
     d = d.withColumns({
         "n_words": F.size("__w").cast("long"),
-        "word_chars": F.length(_squeezed(F.col("__t"))).cast("long"),
-        "n_symbols": (F.length("__t") - F.length(F.translate("__t", SYMBOLS, ""))).cast("long"),
+        "word_chars": F.length(F.array_join("__w", "")).cast("long"),
+        "n_symbols": F.regexp_count(text, F.lit(SYMBOLS)).cast("long"),
         "n_dup_lines": (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long"),
         "n_repeat_words": repeated_words(F.col("__w")).cast("long"),
-        "clean_text": F.array_join(F.filter("__l", lambda x: ~bad_line(x)), "\n"),
+        "__shouts": _any(text, ("!!", "??")),
+        "__marks": _any(text, ("|", "»", "›", "•")),
+        "__phrases": let(F.lower(text), lambda low: _any(low, BOILERPLATE)),
     })
+    symbols, shouts, marks, phrases = F.col("n_symbols") > 0, F.col("__shouts"), F.col("__marks"), F.col("__phrases")
+    d = d.withColumn("__bad", F.filter("__l", lambda x: bad_line(x, symbols, shouts, marks, phrases)))
     d = d.withColumns({
+        "clean_text": F.when(F.size("__bad") == 0, F.array_join("__l", "\n")).otherwise(
+            F.array_join(F.filter("__l", lambda x: ~bad_line(x, symbols, shouts, marks, phrases)), "\n")
+        ),
         "base_failed": (F.col("n_words") < min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * max_repeat_percent),
-        "lost_chars": F.col("word_chars") - F.length(_squeezed(F.col("clean_text"))),
+        "lost_chars": F.length(F.array_join(words_of(F.array_join("__bad", "\n")), "")).cast("long"),
     })
-    return d.withColumn("kept", ~F.col("base_failed") & (F.col("lost_chars") <= F.col("word_chars") * max_lost)).drop("__t", "__w", "__l")
+    d = d.withColumn("kept", ~F.col("base_failed") & (F.col("lost_chars") <= F.col("word_chars") * max_lost))
+    return d.drop("__w", "__l", "__bad", "__shouts", "__marks", "__phrases")
 
 
 def quality_query(spark, sf_dir: str) -> DataFrame:
@@ -120,6 +142,8 @@ def quality_query(spark, sf_dir: str) -> DataFrame:
 
 
 _Q = lambda s: "'" + s.replace("'", "''") + "'"
+_WS = "(' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
+_STOCK = " or ".join(f"contains(lower(x), {_Q(p)})" for p in BOILERPLATE)
 
 QUALITY_SQL = rf"""
 with d as (select doc_id, coalesce(text, '') t, row_number() over () rid from documents),
@@ -132,15 +156,16 @@ cov as (select rid, count(distinct i + k) n from rep, (values (0), (1), (2)) o(k
 c as (select w.rid, doc_id, len(ws)::bigint n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::bigint word_chars,
       len(regexp_extract_all(t, '[#*$%&|<>]'))::bigint n_symbols, (len(ls) - len(list_distinct(ls)))::bigint n_dup_lines,
       coalesce(cov.n, 0)::bigint n_repeat_words, ls from w left join cov using (rid)),
-ln as (select rid, x raw, trim(translate(x, chr(9) || chr(11) || chr(12) || chr(13), '    ')) x from (select rid, unnest(ls) x from c)),
-lf as (select rid, raw, x, len(list_filter(string_split(x, ' '), lambda y: y <> '')) nw, len(regexp_extract_all(x, '[#*$%&|<>]')) ns from ln),
-ok as (select rid, sum(length(regexp_replace(raw, '[\x20\x09-\x0D]', '', 'g'))) n from lf
-       where not ((nw < {SHORT_LINE_WORDS} and not regexp_matches(x, {_Q(SENTENCE_END)})) or ns * 10 > length(x)
+ln as (select rid, x raw, trim(x, {_WS}) x from (select rid, unnest(ls) x from c)),
+lf as (select rid, raw, x, len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) nw from ln),
+bad as (select rid, sum(length(regexp_replace(raw, '[\x20\x09-\x0D]', '', 'g')))::bigint n from lf
+       where (length(x) < {SHORT_LINE} and not regexp_matches(x, {_Q(SENTENCE_END)}))
+         or len(regexp_extract_all(x, {_Q(SYMBOLS)})) * 10 > length(x)
          or len(regexp_extract_all(x, {_Q(SHOUTED)})) * 4 > nw or len(regexp_extract_all(x, {_Q(NAV_MARK)})) * 3 > nw
-         or regexp_matches(x, {_Q(BOILERPLATE)})) group by rid)
+         or {_STOCK} group by rid)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   (n_words < {MIN_WORDS} or 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words) base_failed,
   (not (n_words < {MIN_WORDS} or 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words)
-   and word_chars - coalesce(ok.n, 0) <= word_chars * {MAX_LOST}) kept, (word_chars - coalesce(ok.n, 0))::bigint lost_chars
-from c left join ok using (rid)
+   and coalesce(bad.n, 0) <= word_chars * {MAX_LOST}) kept, coalesce(bad.n, 0)::bigint lost_chars
+from c left join bad using (rid)
 """

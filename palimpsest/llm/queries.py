@@ -2,7 +2,19 @@
 
 from __future__ import annotations
 
+from .chat_format import chat_query
+from .html_text import pages_query
+from .language_id import language_query
 from .quality_rules import QUALITY_SQL, quality_query
+from .secret_scan import secrets_query
+from .toxicity import toxicity_query
 
-QUERIES = {"op9_quality_rules": quality_query}
+QUERIES = {
+    "op4_chat_format": chat_query,
+    "op5_language_id": language_query,
+    "op6_toxicity": toxicity_query,
+    "op7_html_text": pages_query,
+    "op8_secret_scan": secrets_query,
+    "op9_quality_rules": quality_query,
+}
 ORACLE_SQL = {"op9_quality_rules": QUALITY_SQL}
