@@ -23,7 +23,7 @@ CLUSTERS = 4
 #: Labelled rows of each language from which centroids are fitted; the idf counts all labelled rows.
 SAMPLE_PER_LANGUAGE = 400
 #: A text is rejected if its cosine is below this share of what its own centroid's training texts reach.
-REJECT_SHARE = 0.25
+REJECT_SHARE = 0.12
 TEMPERATURE = 0.05
 PIECE = 1 << 20
 UNKNOWN = "und"
