@@ -10,6 +10,7 @@ their closeness, and the votes are calibrated against the examples themselves.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,13 +30,43 @@ MIN_CHI2 = 15.0
 MIN_DF = 4
 NEIGHBOURS = 16
 BLOCK = 32
+#: Besides whole words, beginnings of this many letters count as terms, which catches compounds.
+BEGINNINGS = (4, 6)
+#: Term frequency is coded by levels: a term found n times has its levels 1 to n, up to this one.
+LEVELS = 4
+PIECE = 1 << 20
 
 
+def word_counts(text: str) -> Counter[str]:
+    """Counts of the lower-cased words of the whole text.
 
-def words(text: str) -> Iterator[str]:
-    """Lower-cased letter runs of the whole text."""
-    for m in WORD.finditer(text.lower()):
-        yield m[0]
+    Long texts are read piece by piece; a piece ends at white space if there is any.
+    """
+    counts: Counter[str] = Counter()
+    at = 0
+    while at < len(text):
+        end = at + PIECE
+        if end < len(text):
+            cut = max(text.rfind(" ", at, end), text.rfind("\n", at, end))
+            end = cut + 1 if cut > at else end
+        counts.update(WORD.findall(text[at:end].lower()))
+        at = end
+    return counts
+
+
+def add_beginnings(counts: dict[str, int], words) -> dict[str, int]:
+    """``counts`` with those of the beginnings (marked by ``*``) of ``words``, an iterable of (word, count)."""
+    for w, n in words:
+        for k in BEGINNINGS:
+            if len(w) > k:
+                b = w[:k] + "*"
+                counts[b] = counts.get(b, 0) + n
+    return counts
+
+
+def term_counts(text: str) -> dict[str, int]:
+    counts = word_counts(text)
+    return add_beginnings(dict(counts), counts.items())
 
 
 @dataclass
@@ -78,9 +109,27 @@ class Index:
         return rows[best], sims[best]
 
 
+class Vocabulary:
+    """Terms with the positions of their levels."""
+
+    def __init__(self, kept: list[tuple[str, int]]) -> None:
+        self.levels: dict[str, list[tuple[int, int]]] = {}
+        for i, (w, level) in enumerate(kept):
+            self.levels.setdefault(w, []).append((level, i))
+        self.heads = {w[: BEGINNINGS[0]] for w in self.levels if w.endswith("*")}
+
+    def found(self, text: str) -> list[int]:
+        """Positions of the levels that ``text`` reaches, ascending.  Only words that can matter are looked at one by one."""
+        counts = word_counts(text)
+        own = {w: counts[w] for w in self.levels.keys() & counts.keys()}
+        k, heads = BEGINNINGS[0], self.heads
+        add_beginnings(own, [(w, counts[w]) for w in counts if w[:k] in heads])
+        return sorted(i for w, n in own.items() for level, i in self.levels.get(w, ()) if n >= level)
+
+
 @dataclass
 class Model:
-    terms: dict[str, int]
+    terms: Vocabulary
     idf: np.ndarray
     index: Index
     knots: np.ndarray  # raw votes, ascending
@@ -88,16 +137,11 @@ class Model:
     empty: float  # share of label 1 among texts without a known term
 
     def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        n: dict[int, int] = {}
-        for w in words(text):
-            t = self.terms.get(w)
-            if t is not None:
-                n[t] = n.get(t, 0) + 1
-        if not n:
+        at = self.terms.found(text)
+        if not at:
             return np.zeros(0, int), np.zeros(0, np.float32)
-        at = np.array(sorted(n))
-        v = (1 + np.log([n[t] for t in at])) * self.idf[at]
-        return at, (v / np.sqrt(v @ v)).astype(np.float32)
+        v = self.idf[at]
+        return np.array(at), (v / np.sqrt(v @ v)).astype(np.float32)
 
     def votes(self, terms: np.ndarray, q: np.ndarray, skip: int = -1) -> tuple[float, np.ndarray, np.ndarray] | None:
         if not len(terms):
@@ -150,9 +194,7 @@ def fit(labelled: DataFrame, docs: DataFrame, text_col: str = "text", per_label:
         for b in batches:
             out = []
             for i, y, t in zip(b["id"], b["label"], b["text"]):
-                n: dict[str, int] = {}
-                for w in words(t) if isinstance(t, str) else ():
-                    n[w] = n.get(w, 0) + 1
+                n = term_counts(t) if isinstance(t, str) else {}
                 out.append((i, y, list(n), list(n.values())))
             yield pd.DataFrame(out, columns=["id", "label", "w", "n"])
 
@@ -163,12 +205,13 @@ def fit(labelled: DataFrame, docs: DataFrame, text_col: str = "text", per_label:
     # Each example stands for as many labelled rows as were there to draw from.
     weight = np.array([1 / share[r["label"]] for r in rows], float)
     n1, n0 = max(float(weight[y == 1].sum()), 1e-9), max(float(weight[y == 0].sum()), 1e-9)
-    by: dict[str, list[float]] = {}
+    by: dict[tuple[str, int], list[float]] = {}
     for r, t, u in zip(rows, y, weight):
-        for w in r["w"]:
-            c = by.setdefault(w, [0.0, 0.0, 0])
-            c[int(t)] += u
-            c[2] += 1
+        for w, n in zip(r["w"], r["n"]):
+            for level in range(1, min(n, LEVELS) + 1):
+                c = by.setdefault((w, level), [0.0, 0.0, 0])
+                c[int(t)] += u
+                c[2] += 1
     kept = []
     for w, (b, a, seen) in by.items():
         rest = n1 + n0 - a - b
@@ -177,30 +220,31 @@ def fit(labelled: DataFrame, docs: DataFrame, text_col: str = "text", per_label:
         chi2 = (n1 + n0) * (a * (n0 - b) - b * (n1 - a)) ** 2 / d if d > 0 else (n1 + n0 if a and not b else 0)
         if seen >= MIN_DF and chi2 >= MIN_CHI2 and a * n0 > b * n1:
             kept.append((-chi2, w))
-    vocabulary = {w: i for i, (_, w) in enumerate(sorted(kept)[:MAX_TERMS])}
+    kept = sorted(kept)[:MAX_TERMS]
+    vocabulary = Vocabulary([term for _, term in kept])
 
     def document_frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        df, n = np.zeros(len(vocabulary) + 1, np.int64), 0
+        df, n = np.zeros(len(kept) + 1, np.int64), 0
         for b in batches:
             for t in b[text_col]:
                 n += 1
                 if isinstance(t, str):
-                    for i in {vocabulary[w] for w in words(t) if w in vocabulary}:
-                        df[i] += 1
+                    df[vocabulary.found(t)] += 1
         df[-1] = n
         yield pd.DataFrame({"term": np.arange(len(df)), "df": df})
 
     counted = docs.select(text_col).mapInPandas(document_frequencies, "term long, df long")
-    df = np.zeros(len(vocabulary) + 1)
+    df = np.zeros(len(kept) + 1)
     for r in counted.groupBy("term").agg(F.sum("df").alias("df")).collect():
         df[r["term"]] = r["df"]
     idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1
 
-    x = np.zeros((len(rows), max(len(vocabulary), 1)), np.float32)
+    x = np.zeros((len(rows), max(len(kept), 1)), np.float32)
     for k, r in enumerate(rows):
         for w, n in zip(r["w"], r["n"]):
-            if w in vocabulary:
-                x[k, vocabulary[w]] = (1 + np.log(n)) * idf[vocabulary[w]]
+            for level, i in vocabulary.levels.get(w, ()):
+                if n >= level:
+                    x[k, i] = idf[i]
     length = np.sqrt((x * x).sum(axis=1))
     some = length > 0
     empty = float((weight * y)[~some].sum() + 0.5) / float(weight[~some].sum() + 1) if len(rows) else 0.0
