@@ -10,10 +10,12 @@ from .mixing import mixing_query
 from .near_dup import near_dup_query
 from .quality_rules import QUALITY_SQL, quality_query
 from .secret_scan import secrets_query
+from .substring_dedup import substring_query
 from .toxicity import toxicity_query
 
 QUERIES = {
     "op1_mixing": mixing_query,
+    "op2_substring_dedup": substring_query,
     "op3_decontaminate": leaks_query,
     "op4_chat_format": chat_query,
     "op5_language_id": language_query,
