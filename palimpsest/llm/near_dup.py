@@ -4,13 +4,15 @@ A document is the weighted set of its five-word shingles, weight = count x idf.
 a shingle is that of its hash bucket: the number of documents with a shingle in the bucket,
 counted over all documents.  ICWS draws ``BANDS * ROWS`` samples such that two documents
 agree on one with the probability of their weighted Jaccard similarity; documents that
-agree on a whole band are compared exactly, and links of ``MIN_SIMILARITY`` or more join
+agree on a whole band are compared, first by a bound (the similarity of their weights summed
+up by hash class, which is never less than that of the sets) and then exactly; links of ``MIN_SIMILARITY`` or more join
 them into classes.
 
 Documents with equal shingle sets are one representative from the start.  A group that
 shares a band is never paired off: its open members (those not yet in the class of the
-group's first member) are compared with a few pivots, four times as many in each round,
-until all are linked or have met the whole group.
+group's first member) are compared with a few pivots, sixteen times as many in each
+round, until all are linked or have met the whole group.  The first pivots are the members
+that share most bands with most documents: the text that the others are copies of.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, staged
@@ -30,8 +32,9 @@ SHINGLE = 5
 MIN_SIMILARITY = 0.8
 BANDS, ROWS = 12, 4
 IDF_BUCKETS = 1 << 16
-#: Two documents that agree on fewer samples are not compared: at similarity 0.8 one pair in a million.
-LEAST_AGREEMENT = 24
+#: Classes of shingle hashes for the bound below.
+PARTS = 128
+UNIT = 8  # sums are kept as whole eighths, rounded up
 PIECE = 1 << 20
 _U = np.uint64
 
@@ -158,24 +161,51 @@ def idf_table(docs: DataFrame) -> np.ndarray:
     return np.log1p(table[-1] / (1 + table[:-1])).astype(np.float32)
 
 
+def _narrow(df: DataFrame, name: str) -> DataFrame:
+    """A staged table of ids: few bytes a row, so an eighth of the usual number of files."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return staged(df.coalesce(max(1, n // 8)), name)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, comp): the smallest id that each end of ``edges`` (a, b) is connected with.
 
     Labels spread along the edges and then jump to the label of their label, until none
     changes.  Everything stays in tables.
     """
-    both = staged(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    label = staged(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("comp")), "labels")
+    both = _narrow(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    label = _narrow(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("comp")), "labels")
     while True:
         near = both.join(label, both["b"] == label["id"]).groupBy("a").agg(F.min("comp").alias("m"))
         step = label.join(near, label["id"] == near["a"]).select("id", F.least("comp", "m").alias("new"), F.col("comp").alias("old"))
         up = label.select(F.col("id").alias("new"), F.col("comp").alias("higher"))
         moved = step.join(up, "new").select("id", F.least("new", "higher").alias("comp"), (F.least("new", "higher") != F.col("old")).alias("moved"))
-        label = staged(moved, "labels")
+        label = _narrow(moved, "labels")
         if not label.where("moved").limit(1).count():
             return label.select("id", "comp")
 
 
+def _joined(comp: DataFrame | None, links: DataFrame) -> DataFrame:
+    """``comp`` (id, comp) after new ``links`` (a, b): only the classes that the links touch are merged."""
+    if comp is None:
+        return components(links)
+    ends = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id"))).distinct()
+    base = comp.unionByName(ends.join(comp, "id", "left_anti").withColumn("comp", F.col("id")))
+    a = base.select(F.col("id").alias("a"), F.col("comp").alias("x"))
+    b = base.select(F.col("id").alias("b"), F.col("comp").alias("y"))
+    between = links.join(a, "a").join(b, "b").where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    merged = components(between).select(F.col("id").alias("comp"), F.col("comp").alias("new"))
+    return _narrow(base.join(merged, "comp", "left").select("id", F.coalesce("new", "comp").alias("comp")), "classes")
+
+
+def _bound(weight_a: Column, parts_a: Column, weight_b: Column, parts_b: Column) -> Column:
+    """At least the weighted Jaccard similarity: what two sets share is no more than what their sums by class share."""
+    shared = F.zip_with(parts_a, parts_b, lambda x, y: F.least(x, y))
+    common = F.aggregate(shared, F.lit(0).cast("long"), lambda t, x: t + x) / F.lit(float(UNIT))
+    common = F.least(common, weight_a, weight_b)
+    return common / (weight_a + weight_b - common)
+
+
 def _verified(pairs: DataFrame, vectors: DataFrame, idf, least: float) -> DataFrame:
     """The pairs (a, b) whose weighted Jaccard similarity is at least ``least``."""
 
@@ -199,7 +229,7 @@ def _verified(pairs: DataFrame, vectors: DataFrame, idf, least: float) -> DataFr
 
 
 def _slots(round_: int) -> int:
-    return 4 ** round_
+    return 16 ** round_
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = MIN_SIMILARITY) -> DataFrame:
@@ -220,23 +250,30 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
             for i, t in zip(b["id"], b["text"]):
                 h, n = shingles(t if isinstance(t, str) else None)
                 if not len(h):
-                    out.append((i, None, None, None))
+                    out.append((i, None, None, None, None))
                     continue
                 digest = hashlib.blake2b(h.tobytes() + n.tobytes(), digest_size=16).digest()
-                code = signature(h, weights(h, n, idf.value))
-                out.append((i, digest, code.tobytes(), bands(code)))
-            yield pd.DataFrame(out, columns=["id", "digest", "code", "bands"])
+                w = weights(h, n, idf.value)
+                sums = np.bincount(h >> np.uint32(25), weights=w, minlength=PARTS)
+                parts = np.minimum(np.ceil(sums * UNIT), 2**31 - 1).astype(np.int32)
+                out.append((i, digest, float(w.sum(dtype=np.float64)), parts, bands(signature(h, w))))
+            yield pd.DataFrame(out, columns=["id", "digest", "weight", "parts", "bands"])
 
-    signed = rows.mapInPandas(sign, "id long, digest binary, code binary, bands array<long>")
+    signed = rows.mapInPandas(sign, "id long, digest binary, weight double, parts array<int>, bands array<long>")
     signed = staged(signed, "signatures")
     some = signed.where(F.col("digest").isNotNull())
     first = some.groupBy("digest").agg(F.min("id").alias("rep"))
     member = staged(some.select("id", "digest").join(first, "digest").groupBy("id").agg(F.min("rep").alias("rep")), "members")
 
     heads = some.join(first.select(F.col("rep").alias("id"), "digest"), ["id", "digest"], "left_semi").dropDuplicates(["id"])
-    keyed = heads.select("id", "code", F.explode("bands").alias("key"))
-    groups = keyed.select("key", "id").groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("head")).where("size > 1")
-    bucket = staged(keyed.join(groups, "key"), "buckets")
+    keyed = heads.select("id", "weight", "parts", F.explode("bands").alias("key"))
+    groups = keyed.select("key", "id").groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    shared = staged(keyed.join(groups, "key"), "shared")
+    # Documents that meet the most others stand first.
+    rank = shared.groupBy("id").agg((-F.sum("size")).alias("rank"))
+    ranked = shared.join(rank, "id")
+    first_of = ranked.groupBy("key").agg(F.min(F.struct("rank", "id")).alias("h")).select("key", F.col("h.id").alias("head"))
+    bucket = staged(ranked.join(first_of, "key"), "buckets")
 
     def vectorise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -249,39 +286,34 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
     wanted = bucket.select("id").distinct()
     vectors = staged(rows.join(wanted, "id", "left_semi").mapInPandas(vectorise, "id long, h binary, n binary").dropDuplicates(["id"]), "vectors")
 
-    # The first round: every member of a group against its head.
-    head_code = bucket.where("id = head").select("key", F.col("id").alias("b"), F.col("code").alias("code_b"))
-    links: DataFrame | None = None
     comp: DataFrame | None = None
     level = 0
     while True:
-        if comp is None:
+        if comp is None:  # the first round: every member of a group against its head
             state = bucket.where("id <> head").withColumn("own", F.col("id"))
-            pivots = head_code.withColumn("own_b", F.col("b"))
+            pivots = bucket.where("id = head").select("key", F.col("id").alias("b"), F.col("weight").alias("weight_b"), F.col("parts").alias("parts_b"), F.col("id").alias("own_b"))
         else:
             labelled = bucket.join(comp.withColumnRenamed("comp", "c"), "id", "left").withColumn("own", F.coalesce("c", "id")).drop("c")
             top = comp.select(F.col("id").alias("head"), F.col("comp").alias("c"))
             labelled = labelled.join(top, "head", "left").withColumn("main", F.coalesce("c", "head")).drop("c")
-            labelled = staged(labelled, "state")
             # A group is through when its last pivots were all of its members.
-            state = labelled.where((F.col("own") != F.col("main")) & (F.col("size") > (_slots(level - 1) if level > 1 else 1)))
+            open_ = (F.col("own") != F.col("main")) & (F.col("size") > _slots(level - 1))
+            live = labelled.where(open_).select("key").distinct()
+            labelled = staged(labelled.join(live, "key", "left_semi").withColumn("open", open_), "state")
+            state = labelled.where("open")
             if not state.limit(1).count():
                 break
             m = _slots(level)
-            live = labelled.join(state.select("key").distinct(), "key", "left_semi")
-            # Few enough members: each is a pivot.  Else the smallest id of each of m slots.
+            # Few enough members: each is a pivot.  Else the first of each of m slots.
             slot = F.when(F.col("size") <= m, F.col("id")).otherwise(F.pmod(F.xxhash64("id"), F.lit(m)))
-            pivots = live.groupBy("key", slot.alias("slot")).agg(F.min(F.struct("id", "code", "own")).alias("p"))
-            pivots = pivots.select("key", F.col("p.id").alias("b"), F.col("p.code").alias("code_b"), F.col("p.own").alias("own_b"))
-        words = lambda c: F.sequence(F.lit(1), F.lit(4 * BANDS * ROWS), F.lit(4))
-        agree = F.size(F.filter(words(None), lambda i: F.substring(F.col("code"), i, F.lit(4)) == F.substring(F.col("code_b"), i, F.lit(4))))
-        met = state.join(pivots, "key").where((F.col("own") != F.col("own_b")) & (agree >= LEAST_AGREEMENT))
+            pivots = labelled.groupBy("key", slot.alias("slot")).agg(F.min(F.struct("rank", "id", "weight", "parts", "own")).alias("p"))
+            pivots = pivots.select("key", F.col("p.id").alias("b"), F.col("p.weight").alias("weight_b"), F.col("p.parts").alias("parts_b"), F.col("p.own").alias("own_b"))
+        near = _bound(F.col("weight"), F.col("parts"), F.col("weight_b"), F.col("parts_b")) >= least - 1e-4
+        met = state.join(pivots, "key").where((F.col("own") != F.col("own_b")) & near)
         pairs = met.select(F.greatest("id", "b").alias("a"), F.least("id", "b").alias("b")).distinct()
         found = staged(_verified(pairs, vectors, idf, least), f"links{level}")
-        links = found if links is None else links.unionByName(found)
-        fresh = found.limit(1).count() > 0
-        if fresh or comp is None:
-            comp = components(links.select("a", "b"))
+        if comp is None or found.limit(1).count():
+            comp = _joined(comp, found.select("a", "b"))
         level += 1
     joined = member.join(comp.select(F.col("id").alias("rep"), "comp"), "rep", "left").select("id", F.coalesce("comp", "rep").alias("class_id"))
     everyone = signed.select("id").distinct()
