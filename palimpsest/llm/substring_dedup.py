@@ -28,7 +28,7 @@ from .common import bounded_batches, map_rows, staged
 from .suffix_array import repeated_starts
 
 LENGTH = 400
-GRAM = 32
+GRAM = 128
 SHARD_BYTES = 1_000_000
 HOT_BYTES = 200_000
 CHUNK = 1 << 20
