@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, held_out, map_rows, sha_uniform
+from .common import bounded_batches, held_out, map_rows, sha_uniform, staged
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Labelled rows of each label from which examples and vocabulary are taken.
@@ -190,38 +190,45 @@ def fit(labelled: DataFrame, docs: DataFrame, text_col: str = "text", per_label:
     for k, s in share.items():
         draw = draw | ((F.col("label") == k) & (sha_uniform(F.col("id"), "examples") < s))
 
-    def terms_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    few = labelled.where(draw).limit(4 * per_label)
+    sample = staged(docs.join(F.broadcast(few), "id").select("id", F.col("label").cast("int").alias("label"), F.col(text_col).alias("text")), "examples")
+
+    def count_terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = []
-            for i, y, t in zip(b["id"], b["label"], b["text"]):
-                n = term_counts(t) if isinstance(t, str) else {}
-                out.append((i, y, list(n), list(n.values())))
-            yield pd.DataFrame(out, columns=["id", "label", "w", "n"])
+            seen: Counter[tuple[int, str, int]] = Counter()
+            for y, t in zip(b["label"], b["text"]):
+                for w, n in term_counts(t).items() if isinstance(t, str) else ():
+                    seen.update((y, w, level) for level in range(1, min(n, LEVELS) + 1))
+            yield pd.DataFrame([(*k, n) for k, n in seen.items()], columns=["label", "term", "level", "n"])
 
-    few = labelled.where(draw).limit(4 * per_label)
-    drawn = docs.join(F.broadcast(few), "id").select("id", "label", F.col(text_col).alias("text")).mapInPandas(terms_of, "id long, label int, w array<string>, n array<int>")
-    rows = sorted(drawn.collect(), key=lambda r: (r["id"], r["label"]))
-    y = np.array([r["label"] for r in rows], float)
     # Each example stands for as many labelled rows as were there to draw from.
+    drawn = {r["label"]: r["count"] / share[r["label"]] for r in sample.groupBy("label").count().collect()}
+    n1, n0 = F.lit(float(max(drawn.get(1, 0), 1e-9))), F.lit(float(max(drawn.get(0, 0), 1e-9)))
+    counted = sample.mapInPandas(count_terms, "label int, term string, level int, n long").groupBy("term", "level")
+    a = F.coalesce(F.sum(F.when(F.col("label") == 1, F.col("n"))), F.lit(0)) / share.get(1, 1.0)
+    c = F.coalesce(F.sum(F.when(F.col("label") == 0, F.col("n"))), F.lit(0)) / share.get(0, 1.0)
+    stats = counted.agg(F.sum("n").alias("seen"), a.alias("a"), c.alias("c"))
+    rest = n1 + n0 - F.col("a") - F.col("c")
+    chi2 = (n1 + n0) * F.pow(F.col("a") * (n0 - F.col("c")) - F.col("c") * (n1 - F.col("a")), F.lit(2.0)) / (
+        (F.col("a") + F.col("c")) * F.greatest(rest, F.lit(1e-9)) * n1 * n0
+    )
+    # Only terms that point to label 1: cosines then compare the evidence for it.
+    good = stats.withColumn("chi2", F.round(chi2, 6)).where(
+        (F.col("seen") >= MIN_DF) & (F.col("chi2") >= MIN_CHI2) & (F.col("a") * n0 > F.col("c") * n1)
+    )
+    top = good.orderBy(F.desc("chi2"), "term", "level").limit(MAX_TERMS).select("term", "level").collect()
+    kept = [(r["term"], r["level"]) for r in top]
+    vocabulary = Vocabulary(kept)
+
+    def positions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found = [vocabulary.found(t) if isinstance(t, str) else [] for t in b["text"]]
+            yield pd.DataFrame({"id": b["id"], "label": b["label"], "at": found})
+
+    rows = sample.mapInPandas(positions, "id long, label int, at array<int>").collect()
+    rows.sort(key=lambda r: (r["id"], r["label"]))
+    y = np.array([r["label"] for r in rows], float)
     weight = np.array([1 / share[r["label"]] for r in rows], float)
-    n1, n0 = max(float(weight[y == 1].sum()), 1e-9), max(float(weight[y == 0].sum()), 1e-9)
-    by: dict[tuple[str, int], list[float]] = {}
-    for r, t, u in zip(rows, y, weight):
-        for w, n in zip(r["w"], r["n"]):
-            for level in range(1, min(n, LEVELS) + 1):
-                c = by.setdefault((w, level), [0.0, 0.0, 0])
-                c[int(t)] += u
-                c[2] += 1
-    kept = []
-    for w, (b, a, seen) in by.items():
-        rest = n1 + n0 - a - b
-        d = (a + b) * rest * n1 * n0
-        # Only terms that point to label 1: cosines then compare the evidence for it.
-        chi2 = (n1 + n0) * (a * (n0 - b) - b * (n1 - a)) ** 2 / d if d > 0 else (n1 + n0 if a and not b else 0)
-        if seen >= MIN_DF and chi2 >= MIN_CHI2 and a * n0 > b * n1:
-            kept.append((-chi2, w))
-    kept = sorted(kept)[:MAX_TERMS]
-    vocabulary = Vocabulary([term for _, term in kept])
 
     def document_frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         df, n = np.zeros(len(kept) + 1, np.int64), 0
@@ -233,18 +240,15 @@ def fit(labelled: DataFrame, docs: DataFrame, text_col: str = "text", per_label:
         df[-1] = n
         yield pd.DataFrame({"term": np.arange(len(df)), "df": df})
 
-    counted = docs.select(text_col).mapInPandas(document_frequencies, "term long, df long")
+    frequencies = docs.select(text_col).mapInPandas(document_frequencies, "term long, df long")
     df = np.zeros(len(kept) + 1)
-    for r in counted.groupBy("term").agg(F.sum("df").alias("df")).collect():
+    for r in frequencies.groupBy("term").agg(F.sum("df").alias("df")).collect():
         df[r["term"]] = r["df"]
     idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1
 
     x = np.zeros((len(rows), max(len(kept), 1)), np.float32)
     for k, r in enumerate(rows):
-        for w, n in zip(r["w"], r["n"]):
-            for level, i in vocabulary.levels.get(w, ()):
-                if n >= level:
-                    x[k, i] = idf[i]
+        x[k, r["at"]] = idf[r["at"]]
     length = np.sqrt((x * x).sum(axis=1))
     some = length > 0
     empty = float((weight * y)[~some].sum() + 0.5) / float(weight[~some].sum() + 1) if len(rows) else 0.0
