@@ -42,8 +42,9 @@ BOILER_HINT = re.compile(
 )
 BOILER_ROLE = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S
+    r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|</([a-zA-Z][^\s/>]*+)[^>]*+>|<([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|[^<]++|<", re.S
 )
+TAIL = re.compile(r"()()()(?:(?:[^<]|<(?![a-zA-Z/!?]))++|<.*)", re.S)
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 PUNCTUATION = re.compile(r"[.,;:!?…。，、！？]")
 SIGMA = 1.0
@@ -75,8 +76,10 @@ def parse(page: str) -> tuple[list[Element], list[Node]]:
     stack, nodes = [0], []
     current: Node | None = None
     anchors, at, size = 0, 0, len(page)
+    last = page.rfind(">")
     while at < size:
-        m = TOKEN.match(page, at)
+        # Behind the last ">" there is text, up to a tag or comment that does not end.
+        m = TOKEN.match(page, at) if at <= last else TAIL.match(page, at)
         if m is None:
             at += 1
             continue
@@ -139,7 +142,7 @@ def parse(page: str) -> tuple[list[Element], list[Node]]:
                     break
         else:
             text = m[0]
-            if text[0] == "<" and len(text) > 1:  # a comment or declaration
+            if re.match("<[a-zA-Z/!?]", text):  # a comment, a declaration or an open tag
                 continue
             if current is None:
                 if text.isspace():

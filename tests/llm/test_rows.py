@@ -60,7 +60,7 @@ def test_quality_on_odd_rows(spark, odd):
 
 
 def test_quality_removes_lines(spark):
-    prose = "\n".join(f"This is plain sentence number {i} of a longer text about nothing in particular." for i in range(12))
+    prose = "\n".join(" ".join(f"word{i}{k}" for k in "abcdefghij") + "." for i in range(12))
     noise = "Home | About | Contact\nAll rights reserved\nshort line"
     df = spark.createDataFrame([(1, prose + "\n" + noise), (2, noise * 12), (3, prose)], "doc_id long, text string")
     got = {r["doc_id"]: r for r in quality_rules.clean_lines(df).collect()}
