@@ -8,10 +8,10 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from palimpsest.llm import mixing, near_dup, substring_dedup, suffix_array
-from palimpsest.llm.queries import QUERIES
+from palimpsest.llm import decontaminate, mixing, near_dup, substring_dedup, suffix_array
 from tests.conftest import SF
 
 
@@ -161,6 +161,10 @@ def test_mixing_of_odd_tables(spark):
 def test_pipeline(spark, sf):
     """Every stage on its own input: columns stay, and what goes is what its operator found."""
     docs = corpus_pipeline.table(spark, sf, "documents")
+    # The small table has no secrets of its own: every tenth document gets one.
+    planted = F.concat("text", F.lit(' token = "908038b7daaf91e730d2f64001c52934d43d9336" end'))
+    docs = docs.withColumn("text", F.when(F.col("doc_id") % 10 == 3, planted).otherwise(F.col("text")))
+    docs = docs.withColumn("n_chars", F.length("text").cast("long"))
     columns, rows = docs.columns, {}
     for name, stage in corpus_pipeline.STAGES:
         before = {r["doc_id"]: r for r in docs.collect()}
@@ -173,10 +177,11 @@ def test_pipeline(spark, sf):
     found = {r["doc_id"]: r["class_id"] for r in near_dup.classes(spark.createDataFrame(list(before.values()))).collect()}
     assert set(after) == {i for i, c in found.items() if i == c}
     before, after = rows["decontaminate"]
-    leaked = {r["doc_id"] for r in QUERIES["op3_decontaminate"](spark, sf).collect()}
+    bench = corpus_pipeline.table(spark, sf, "benchmark")
+    leaked = {r["doc_id"] for r in decontaminate.leaks(spark.createDataFrame(list(before.values())), bench).collect()}
     assert set(after) == set(before) - leaked
     before, after = rows["secret_scan"]
     assert set(after) == set(before) and all(len(r["text"]) == r["n_chars"] for r in after.values())
-    assert any("[SECRET]" in r["text"] for r in after.values())
+    assert any(i % 10 == 3 for i in after) and all(("[SECRET]" in r["text"]) == (i % 10 == 3) for i, r in after.items())
     before, after = rows["mixing"]
     assert set(after) == set(before) and all(r["rate"] >= 0 for r in after.values())
