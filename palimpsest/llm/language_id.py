@@ -2,7 +2,8 @@
 
 Each text becomes a normalised TF-IDF vector of hashed character n-grams.  Every language
 has several centroids, the clusters of its training texts; a text takes the language of
-the centroid with the largest cosine, and is rejected if even that one is too far away.
+the centroid with the largest cosine.  It is rejected if all large clusters are farther
+away than nearly all training texts of its length are.
 """
 
 from __future__ import annotations
@@ -22,8 +23,13 @@ BUCKETS = 8192
 CLUSTERS = 4
 #: Labelled rows of each language from which centroids are fitted; the idf counts all labelled rows.
 SAMPLE_PER_LANGUAGE = 400
-#: A text is rejected if its cosine is below this share of what its own centroid's training texts reach.
-REJECT_SHARE = 0.12
+#: A text is rejected if its cosine is below this share of the low quantile of the training texts of its length.
+REJECT_SHARE = 0.45
+LOW_QUANTILE = 0.01
+#: Training rows that a length class (doublings of the number of n-grams) needs; shorter classes join longer ones.
+LENGTH_ROWS = 50
+#: Clusters with a smaller share of their language's training rows are no measure of distance: their rows are their own centroid.
+SOLID_SHARE = 0.05
 TEMPERATURE = 0.05
 PIECE = 1 << 20
 UNKNOWN = "und"
@@ -72,7 +78,9 @@ class Model:
     idf: np.ndarray
     centroids: np.ndarray
     owner: np.ndarray  # of each centroid: position in languages
-    least: np.ndarray  # of each centroid: smallest accepted cosine
+    solid: np.ndarray  # of each centroid: whether it measures distance
+    edges: np.ndarray  # of each length class but the first: fewest n-grams
+    least: np.ndarray  # of each length class: smallest accepted cosine
 
     def predict(self, text: str | None) -> tuple[str, float, float, bool]:
         """(language, score, cosine, rejected)"""
@@ -84,8 +92,22 @@ class Model:
         np.maximum.at(best, self.owner, cos)
         k = int(np.argmax(best))
         soft = np.exp((best - best[k]) / TEMPERATURE)
-        near = int(np.argmax(np.where(self.owner == k, cos, -2)))
-        return self.languages[k], float(1 / soft.sum()), float(max(best[k], 0.0)), bool(cos[near] < self.least[near])
+        bound = self.least[np.searchsorted(self.edges, counts.sum(), "right")]
+        return self.languages[k], float(1 / soft.sum()), float(max(best[k], 0.0)), bool(cos[self.solid].max() < bound)
+
+
+def length_bounds(lengths: np.ndarray, cosines: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of the length classes, and the smallest accepted cosine of each class."""
+    level = np.floor(np.log2(np.maximum(lengths, 1))).astype(int)
+    starts, rows = [0], 0
+    for k in range(level.max() + 1):
+        if rows >= LENGTH_ROWS and (level >= k).sum() >= LENGTH_ROWS:
+            starts.append(k)
+            rows = 0
+        rows += int((level == k).sum())
+    own = np.searchsorted(starts[1:], level, "right")
+    least = [REJECT_SHARE * float(np.quantile(cosines[own == j], LOW_QUANTILE)) for j in range(len(starts))]
+    return 2.0 ** np.array(starts[1:]), np.array(least)
 
 
 def cluster(x: np.ndarray, k: int, seed: int = 7, rounds: int = 12) -> tuple[np.ndarray, np.ndarray]:
@@ -111,7 +133,7 @@ def fit(labelled: DataFrame, text_col: str, lang_col: str, per_language: int = S
     )
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not sizes:
-        return Model([], np.zeros(BUCKETS), np.zeros((0, BUCKETS), np.float32), np.zeros(0, int), np.zeros(0))
+        return Model([], np.zeros(BUCKETS), np.zeros((0, BUCKETS), np.float32), np.zeros(0, int), np.zeros(0, bool), np.zeros(0), np.zeros(1))
 
     def document_frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         df, n = np.zeros(BUCKETS + 1, np.int64), 0
@@ -132,28 +154,33 @@ def fit(labelled: DataFrame, text_col: str, lang_col: str, per_language: int = S
 
     def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = [(g, h, unit(c, idf).astype(np.float16).tobytes()) for g, h, t in zip(b["lang"], b["h"], b["text"]) if (c := ngram_counts(t)) is not None]
-            yield pd.DataFrame(out, columns=["lang", "h", "v"])
+            out = [(g, h, int(c.sum()), unit(c, idf).astype(np.float16).tobytes()) for g, h, t in zip(b["lang"], b["h"], b["text"]) if (c := ngram_counts(t)) is not None]
+            yield pd.DataFrame(out, columns=["lang", "h", "n", "v"])
 
     draw = None
     for lang, n in sizes.items():
         one = (F.col("lang") == lang) & (sha_uniform(F.struct("text", "r"), "centroids") < per_language / n)
         draw = one if draw is None else draw | one
     drawn = rows.withColumn("r", F.monotonically_increasing_id()).where(draw).withColumn("h", F.xxhash64("text", "r"))
-    got = drawn.mapInPandas(vectors, "lang string, h long, v binary").limit(3 * per_language * len(sizes)).collect()
+    got = drawn.mapInPandas(vectors, "lang string, h long, n long, v binary").limit(3 * per_language * len(sizes)).collect()
     got.sort(key=lambda r: (r["lang"], r["h"], bytes(r["v"])))
     languages = sorted({r["lang"] for r in got})
-    centroids, owner, least = [], [], []
+    if not languages:
+        return Model([], idf, np.zeros((0, BUCKETS), np.float32), np.zeros(0, int), np.zeros(0, bool), np.zeros(0), np.zeros(1))
+    centroids, owner, solid, vectors_of = [], [], [], []
     for k, lang in enumerate(languages):
         x = np.stack([np.frombuffer(r["v"], np.float16) for r in got if r["lang"] == lang]).astype(np.float32)
-        c, cos = cluster(x, CLUSTERS)
+        c, _ = cluster(x, CLUSTERS)
         own = np.argmax(x @ c.T, axis=1)
         for j in range(len(c)):
             centroids.append(c[j])
             owner.append(k)
-            near = cos[own == j]
-            least.append(REJECT_SHARE * float(np.median(near)) if len(near) else 0.0)
-    return Model(languages, idf, np.array(centroids, np.float32).reshape(-1, BUCKETS), np.array(owner, int), np.array(least))
+            solid.append((own == j).sum() >= SOLID_SHARE * len(x))
+        vectors_of.append(x)
+    centroids, solid = np.array(centroids, np.float32), np.array(solid)
+    cos = np.concatenate([(x @ centroids[solid].T).max(axis=1) for x in vectors_of])
+    edges, least = length_bounds(np.array([r["n"] for r in got]), cos)
+    return Model(languages, idf, centroids, np.array(owner, int), solid, edges, least)
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
