@@ -1,9 +1,11 @@
 """Benchmark decontamination by greedy string tiling.
 
-Documents and benchmark items that share a seed of ``SEED`` tokens are tiled: the longest
-matches between unmarked tokens are marked, again and again, down to ``MIN_TILE`` tokens.
-An item is leaked if its tiles cover ``MIN_COVERAGE`` of its tokens; since tiles may lie in
-any order, a passage whose parts have been moved about is still caught.
+The longest matches between unmarked tokens of a document and a benchmark item are marked,
+again and again, down to ``MIN_TILE`` tokens.  An item is leaked if its tiles cover
+``MIN_COVERAGE`` of its tokens; since tiles may lie in any order, a passage whose parts have
+been moved about is still caught.  Tiles lie in runs of ``MIN_TILE`` tokens that both sides
+have, so an item is tiled only if such runs cover enough of it: this loses no leak.  An item
+shorter than ``MIN_TILE`` tokens is leaked where it stands as a whole.
 """
 
 from __future__ import annotations
@@ -20,7 +22,6 @@ from pyspark.sql import types as T
 from .common import bounded_batches
 
 WORD = re.compile(r"\w+")
-SEED = 5
 MIN_TILE = 3
 MIN_COVERAGE = 0.7
 #: Characters of benchmark text that are broadcast at a time; a larger benchmark goes in blocks.
@@ -93,49 +94,80 @@ def tile(pattern: list[int], text: list[int], least: int = MIN_TILE) -> list[tup
     return sorted(tiles, key=lambda t: (-t[2], t[0], t[1]))
 
 
+@dataclass
+class Grams:
+    """Runs of ``width`` tokens in a block of the benchmark, by hash, with all their places."""
+
+    width: int
+    hashes: np.ndarray  # ascending, without repeats
+    ends: np.ndarray  # of each hash: where its places start, and the end
+    places: np.ndarray  # first tokens of the runs, counted through all items of the block
+
+    @staticmethod
+    def of(width: int, parts: list[tuple[int, list[int]]]) -> Grams:
+        """``parts``: (place of the first token, tokens) of the items."""
+        hs = [_rolling(np.array(ts), width) for _, ts in parts]
+        h = np.concatenate([np.zeros(0, np.uint64), *hs])
+        at = np.concatenate([np.zeros(0, np.int64), *(a + np.arange(len(x)) for (a, _), x in zip(parts, hs))])
+        order = np.argsort(h, kind="stable")
+        hashes, first = np.unique(h[order], return_index=True)
+        return Grams(width, hashes, np.append(first, len(h)), at[order])
+
+    def covered(self, ids: np.ndarray) -> np.ndarray:
+        """Places of the benchmark's tokens that lie in runs that ``ids`` has too; -1 is no word of the benchmark."""
+        none = np.zeros(0, np.int64)
+        if not len(self.hashes) or len(ids) < self.width:
+            return none
+        known = np.convolve(ids >= 0, np.ones(self.width, np.int64), "valid") == self.width
+        if not known.any():
+            return none
+        h = _rolling(ids, self.width)[known]
+        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+        hit = np.unique(at[self.hashes[at] == h])
+        if not len(hit):
+            return none
+        starts = np.concatenate([self.places[self.ends[k] : self.ends[k + 1]] for k in hit.tolist()])
+        return np.unique((starts[:, None] + np.arange(self.width)).ravel())
+
+
 @dataclass
 class Items:
-    """A block of the benchmark: its words, seeds and token numbers."""
+    """A block of the benchmark: its words, token numbers and runs."""
 
     ids: list[int]
     tokens: list[list[int]]
     words: dict[str, int]
-    seeds: np.ndarray
-    owners: dict[int, list[int]]
+    owner: np.ndarray  # of each place: the item
+    grams: list[Grams]
 
     @staticmethod
     def of(rows: list[tuple[int, str]]) -> Items:
         words: dict[str, int] = {}
         toks = [[words.setdefault(w, len(words)) for w in tokens(t or "")] for _, t in rows]
-        owners: dict[int, list[int]] = {}
-        for k, ts in enumerate(toks):
-            if len(ts) >= SEED:
-                for h in set(_rolling(np.array(ts), SEED).tolist()):
-                    owners.setdefault(h, []).append(k)
-        return Items([i for i, _ in rows], toks, words, np.array(sorted(owners), np.uint64), owners)
+        sizes = [len(ts) for ts in toks]
+        starts = np.cumsum([0, *sizes]).tolist()
+        grams = [Grams.of(w, [(a, ts) for a, ts in zip(starts, toks) if min(len(ts), MIN_TILE) == w]) for w in range(1, MIN_TILE + 1)]
+        return Items([i for i, _ in rows], toks, words, np.repeat(np.arange(len(toks)), sizes), grams)
 
     def leaks(self, text: str | None, coverage: float) -> list[tuple[int, int, int, float]]:
         """(item, matched tokens, tokens, coverage) of the items that ``text`` leaks."""
-        if not text or not len(self.seeds):
+        if not text or not len(self.owner):
             return []
         get = self.words.get
         toks = tokens(text)
         ids = np.fromiter((get(w, -1) for w in toks), np.int64, len(toks))
-        if len(ids) < SEED:
-            return []
-        known = np.convolve(ids >= 0, np.ones(SEED, np.int64), "valid") == SEED
-        if not known.any():
-            return []
-        h = _rolling(ids, SEED)[known]
-        at = np.minimum(np.searchsorted(self.seeds, h), len(self.seeds) - 1)
-        found = {k for s in set(h[self.seeds[at] == h].tolist()) for k in self.owners[s]}
+        places = np.concatenate([g.covered(ids) for g in self.grams])
         out = []
-        listed = ids.tolist()
-        for k in sorted(found):
-            n = sum(t[2] for t in tile(self.tokens[k], listed))
-            c = n / len(self.tokens[k])
+        listed = ids.tolist() if len(places) else []
+        found, most = np.unique(self.owner[places], return_counts=True)
+        for k, m in zip(found.tolist(), most.tolist()):
+            size = len(self.tokens[k])
+            if m / size < coverage:
+                continue
+            n = sum(t[2] for t in tile(self.tokens[k], listed, min(MIN_TILE, size)))
+            c = n / size
             if c >= coverage:
-                out.append((self.ids[k], n, len(self.tokens[k]), round(c, 6)))
+                out.append((self.ids[k], n, size, round(c, 6)))
         return out
 
 
@@ -152,7 +184,7 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[Items]
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", coverage: float = MIN_COVERAGE) -> DataFrame:
     """One row (document id, item_id, n_matched, n_tokens, coverage) for each leaked item of each input row.
 
-    Null and short texts leak nothing; items with fewer than ``SEED`` tokens cannot be found.
+    Null texts and items without a token leak nothing.
     A document row that stands twice is reported twice.  Documents are not shuffled.
     """
     spark = docs.sparkSession

@@ -5,7 +5,7 @@ from __future__ import annotations
 import base64
 import random
 
-from palimpsest.llm import language_id
+from palimpsest.llm import decontaminate, language_id
 
 FOREIGN = {
     "fi": "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä. Jokainen on oikeutettu kaikkiin tässä julistuksessa esitettyihin oikeuksiin ja vapauksiin ilman minkäänlaista rotuun, väriin, sukupuoleen, kieleen, uskontoon, poliittiseen tai muuhun mielipiteeseen, kansalliseen tai yhteiskunnalliseen alkuperään perustuvaa erotusta.",
@@ -26,3 +26,38 @@ def test_foreign_and_random_long_texts_are_rejected(spark):
     assert [r["doc_id"] for r in language_id.identify(df, model).collect() if not r["rejected"]] == []
     own = language_id.identify(docs.where("n_chars >= 300").select("doc_id", "text"), model).collect()
     assert own and not any(r["rejected"] for r in own)
+
+
+def test_leaks_without_long_shared_runs(spark):
+    item = [f"w{k}" for k in range(24)]
+    chunks = lambda n: " ".join(x for a in reversed(range(0, 24, n)) for x in item[a : a + n])
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, "alpha beta"), (3, "gamma"), (4, "one two three four"), (5, "!!")], "item_id long, text string")
+    rows = [
+        (1, chunks(3)),
+        (2, chunks(4)),
+        (3, " ".join("changed" if k % 5 == 4 else x for k, x in enumerate(item))),
+        (4, chunks(2)),
+        (5, "an Alpha, beta test"),
+        (6, "beta alpha of gammas !!"),
+        (7, "Gamma"),
+        (8, "so one two three it is"),
+        (9, "one two and three four"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["doc_id"], r["item_id"], r["n_matched"]) for r in decontaminate.leaks(docs, bench).collect())
+    assert got == [(1, 1, 24), (2, 1, 24), (3, 1, 20), (5, 2, 2), (7, 3, 1), (8, 4, 3)]
+    assert sorted(r["doc_id"] for r in decontaminate.without_leaks(docs, bench).collect()) == [4, 6, 9]
+
+
+def test_leaks_are_those_of_tiling_every_item():
+    r = random.Random(6)
+    for _ in range(150):
+        rows = [(k, " ".join(r.choice("abcdef") for _ in range(r.randrange(12)))) for k in range(6)]
+        text = " ".join(r.choice("abcdefgh") for _ in range(r.randrange(25)))
+        want = []
+        for k, t in rows:
+            p, d = decontaminate.tokens(t), decontaminate.tokens(text)
+            n = sum(x[2] for x in decontaminate.tile(p, d, min(3, len(p)))) if p else 0
+            if p and n / len(p) >= 0.7:
+                want.append((k, n, len(p), round(n / len(p), 6)))
+        assert decontaminate.Items.of(rows).leaks(text, 0.7) == want
