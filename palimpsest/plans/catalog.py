@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import ancestry, changes, intervals, refs, retention, search, textdiff, threeway
@@ -478,10 +478,18 @@ def _(f):
     return textdiff.blame(f.doc_versions)
 
 
-def _triples(f: Fixtures) -> DataFrame:
-    """Versions 1, 2 and 3 of every path as ancestor, ours and theirs."""
-    v = lambda n, c: f.doc_versions.where(F.col("version") == n).select("path", F.col("text").alias(c))
-    return v(1, "base").join(v(2, "ours"), "path").join(v(3, "theirs"), "path")
+def _triples(f: Fixtures, span: int = 64) -> DataFrame:
+    """Every version of every path with the next two, as ancestor, ours and theirs; named ``path@version``.
+
+    Versions go in runs of ``span``, each with the two versions after it, so that a path spreads over tasks.
+    """
+    runs = F.sequence(F.floor(F.greatest(F.col("version") - 3, F.lit(0)) / span), F.floor((F.col("version") - 1) / span))
+    v = f.doc_versions.select("path", "version", "text", F.explode(runs).alias("run"))
+    w = Window.partitionBy("path", "run").orderBy("version")
+    ours, theirs, last = F.lead("text", 1).over(w), F.lead("text", 2).over(w), F.lead("version", 2).over(w)
+    j = v.select("path", "version", "run", F.col("text").alias("base"), ours.alias("ours"), theirs.alias("theirs"), last.alias("last"))
+    j = j.where(F.col("last").isNotNull() & (F.floor((F.col("version") - 1) / span) == F.col("run")))
+    return j.select(F.concat_ws("@", "path", F.col("version").cast("string")).alias("path"), "base", "ours", "theirs")
 
 
 @query("conflict_hunks")
