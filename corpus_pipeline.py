@@ -37,8 +37,8 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rates and copies that bring the domains to equal token totals."""
-    return mixing.mix(docs, docs)
+    """Rates and copies that bring the sources to equal token totals."""
+    return mixing.mix(docs, docs, domain_col="source")
 
 
 STAGES = [

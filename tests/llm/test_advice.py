@@ -5,7 +5,11 @@ from __future__ import annotations
 import base64
 import random
 
-from palimpsest.llm import decontaminate, language_id
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from palimpsest.llm import decontaminate, language_id, mixing
+from palimpsest.llm.queries import QUERIES
 
 FOREIGN = {
     "fi": "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä. Jokainen on oikeutettu kaikkiin tässä julistuksessa esitettyihin oikeuksiin ja vapauksiin ilman minkäänlaista rotuun, väriin, sukupuoleen, kieleen, uskontoon, poliittiseen tai muuhun mielipiteeseen, kansalliseen tai yhteiskunnalliseen alkuperään perustuvaa erotusta.",
@@ -61,3 +65,20 @@ def test_leaks_are_those_of_tiling_every_item():
             if p and n / len(p) >= 0.7:
                 want.append((k, n, len(p), round(n / len(p), 6)))
         assert decontaminate.Items.of(rows).leaks(text, 0.7) == want
+
+
+def test_mixing_brings_sources_to_their_targets(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    stage = dict(corpus_pipeline.STAGES)["mixing"]
+    for out in (QUERIES["op1_mixing"](spark, sf), stage(spark, docs, sf)):
+        got = out.join(docs.select("doc_id", "source"), "doc_id").groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("rate")).alias("t")).collect()
+        mean = sum(r["t"] for r in got) / len(got)
+        assert len(got) > 1 and all(abs(r["t"] - mean) < 1e-3 * mean for r in got)
+
+
+def test_mixing_with_rows_of_unknown_source(spark):
+    rows = [(1, "a a a a", "hot"), (2, "a a b", "hot"), (3, "c c", "cold"), (4, "c c c", None), (5, None, "empty"), (6, "a c", "new")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r["doc_id"]: r for r in mixing.mix(df, df.where("source <> 'new'"), domain_col="source").collect()}
+    assert [got[k]["membership"] for k in (1, 2, 3, 5)] == [1.0] * 4 and got[4]["membership"] < 1 and got[6]["membership"] < 1
+    assert got[1]["domain"] == "hot" and got[4]["domain"] == "cold"
