@@ -1,10 +1,14 @@
 """HTML extraction by tag-path ratios.
 
-A page is read as a sequence of text nodes, each with its path of tags from the root.  For
-every path the text length and the punctuation per node are summed up and the two ratios
-are fused; the fused value of each node is smoothed with its neighbours' and compared
-with a threshold.  The smallest element that holds the weight of the selected nodes is the
-article; its text blocks come out, without those of menus, adverts, forms and the like.
+A page is read as a sequence of text blocks, each with its path of labels (tag and class)
+from the root.  For every path the text length and the punctuation per block are summed up.
+Both ratios are smoothed along the page, fused, and averaged by path; links and what the
+labels say of a path (its evidence) scale the result.  Paths that reach a share of the page's
+typical value are the article's, and their blocks are the text.  A block between two of them
+comes along unless its labels or links speak against it.
+
+Labels alone decide nothing: evidence is a factor, which a path of long, punctuated text can
+outweigh, as one of short text is dropped without any telling label.
 """
 
 from __future__ import annotations
@@ -26,20 +30,26 @@ INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup "
     "time tt u var wbr br img input".split()
 )
-HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-PROSE = frozenset("p blockquote pre dd td figcaption".split())
 MAIN = frozenset("article main".split())
 #: Opening one of the keys ends an open element named in its value.
 CLOSES = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}
 } | {t: {"p"} for t in "p div ul ol dl table section article aside nav header footer main form h1 h2 h3 h4 h5 h6 blockquote pre hr figure".split()}
 SCOPE = frozenset("div td th article section aside nav header footer main body html ul ol dl table blockquote".split())
-BOILER_HINT = re.compile(
-    r"(?:^|[\s_-])(?:nav\w*|menu\w*|foot(?:er)?|sidebar\w*|side|ads?|adv\w*|adbox|banner\w*|sponsor\w*|promo\w*|cookie\w*|consent|notices?|notification|"
-    r"alert|comments?|commentlist|disqus|repl(?:y|ies)|respond|share|sharing|social|related|recommend\w*|breadcrumbs?|subscribe|newsletter|popup|"
-    r"modal|overlay|widget\w*|toolbar|pagination|pager|masthead|topbar|skip\w*|hidden|copyright|signup|login|search\w*|tags?|byline|meta)(?:$|[\s_-])",
-    re.I,
+#: What a label does to the value of a path: boiler elements and names, names that may mean either, article elements.
+BOILER_FACTOR, HINT_FACTOR, WEAK_FACTOR, MAIN_FACTOR = 0.01, 0.01, 0.5, 2.0
+# Words in names of classes and ids.
+HINT_WORDS = frozenset(
+    "nav navbar navigation menu menubar foot footer sidebar sidebars ad ads adv advert adverts advertisement adbox banner banners sponsor sponsors "
+    "sponsored promo promos promotion cookie cookies consent notice notices notification alert comment comments commentlist disqus replies respond "
+    "social breadcrumb breadcrumbs subscribe newsletter popup modal overlay pagination pager masthead topbar signup login toolbar hidden".split()
+)
+WEAK_WORDS = frozenset("side reply share sharing related recommend recommended widget widgets skip copyright search tag tags byline meta".split())
+NEUTRAL_WORDS = frozenset(
+    "a b box bar list item items wrap wrapper container area section block inner outer top left right bottom main site page content text top global "
+    "primary secondary first last col column panel header head body thread form links link text small large big the and of to".split()
 )
+NAME_WORD = re.compile(r"[a-z]+")
 BOILER_ROLE = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 TOKEN = re.compile(
     r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|</([a-zA-Z][^\s/>]*+)[^>]*+>|<([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|[^<]++|<", re.S
@@ -47,33 +57,109 @@ TOKEN = re.compile(
 TAIL = re.compile(r"()()()(?:(?:[^<]|<(?![a-zA-Z/!?]))++|<.*)", re.S)
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 PUNCTUATION = re.compile(r"[.,;:!?…。，、！？]")
-SIGMA = 1.0
-THRESHOLD = 0.5
-CONTAINER_SHARE = 0.8
+SIGMA, REACH = 1.0, 2
+#: A path is the article's if its value is at least this share of the typical one, and at least the least value.
+THRESHOLD = 0.25
+LEAST_VALUE = 1.0
+#: A block between selected ones needs this evidence, and no more than this share of linked text.
+GAP_EVIDENCE, GAP_LINKED = 0.1, 0.5
 
 
 @dataclass(slots=True)
-class Element:
-    tag: str
+class Path:
+    """A root-to-leaf path, as its parent path and one more label; ``evidence`` is the product of its labels' factors."""
+
     parent: int
-    path: str
-    boiler: bool
-    depth: int
+    label: str
+    evidence: float
+    main: bool
 
 
 @dataclass(slots=True)
 class Node:
     """A text block: what stands between two block tags."""
 
-    owner: int
+    path: int
     pieces: list[str] = field(default_factory=list)
     linked: int = 0
 
 
-def parse(page: str) -> tuple[list[Element], list[Node]]:
-    """Elements in page order and the text blocks in them.  Never fails on broken markup."""
-    elements = [Element("", -1, "", False, 0)]
-    stack, nodes = [0], []
+def name_factor(value: str) -> float:
+    """The factor of a class or id: the least of its names'.
+
+    A name made of hint words, with neutral ones or digits, is a hint; one of weak words, or
+    with a hint word beside other words (``meta-analysis``, ``ad-hoc``), is a weak one.
+    """
+    least = 1.0
+    for name in value.split():
+        words = set(NAME_WORD.findall(re.sub(r"([a-z])([A-Z])", r"\1-\2", name).lower()))
+        if words & HINT_WORDS:
+            least = min(least, HINT_FACTOR if words <= HINT_WORDS | WEAK_WORDS | NEUTRAL_WORDS else WEAK_FACTOR)
+        elif words & WEAK_WORDS:
+            least = min(least, WEAK_FACTOR)
+    return least
+
+
+def label_of(tag: str, attributes: str, inside_main: bool) -> tuple[str, float]:
+    """(label, factor) of an element.  ``header`` is boiler only outside of the article."""
+    label, factor = tag, MAIN_FACTOR if tag in MAIN else 1.0
+    if tag in BOILER or tag == "header" and not inside_main:
+        factor = BOILER_FACTOR
+    if attributes and not attributes.isspace():
+        for a in ATTRIBUTE.finditer(attributes):
+            name, value = a[1].lower(), a[2] or a[3] or a[4] or ""
+            if name in ("class", "id") and value:
+                label += "." + " ".join(value.split()) if name == "class" else ""  # ids would set every element apart
+                if tag not in MAIN and tag not in ("body", "html"):
+                    factor = min(factor, name_factor(value))
+            elif (
+                name == "role" and value.lower() in BOILER_ROLE
+                or name == "hidden"
+                or name == "aria-hidden" and value == "true"
+                or name == "style" and "display:none" in value.replace(" ", "").lower()
+            ):
+                factor = min(factor, BOILER_FACTOR)
+    return label, factor
+
+
+class _Stack:
+    """Open elements with their paths; finds an open tag within its scope in one step, however deep the page."""
+
+    def __init__(self) -> None:
+        self.tags, self.paths = [""], [0]
+        self.places: dict[str, list[int]] = {}
+        self.scopes = [0]
+
+    def push(self, tag: str, path: int) -> None:
+        self.places.setdefault(tag, []).append(len(self.tags))
+        if tag in SCOPE:
+            self.scopes.append(len(self.tags))
+        self.tags.append(tag)
+        self.paths.append(path)
+
+    def cut(self, tag: str, scoped: bool) -> None:
+        """End the innermost open ``tag`` and all in it; with ``scoped`` only if no other scope element is between."""
+        places = self.places.get(tag)
+        if not places or scoped and places[-1] < self.scopes[-1]:
+            return
+        k = places[-1]
+        while len(self.tags) > k:
+            t = self.tags.pop()
+            self.paths.pop()
+            self.places[t].pop()
+            if t in SCOPE:
+                self.scopes.pop()
+
+
+def parse(page: str) -> tuple[list[Path], list[Node]]:
+    """The paths and the text blocks in page order.  Never fails on broken markup.
+
+    A path is kept once, as its parent and a label, so that deep pages take memory in
+    proportion to their length.
+    """
+    paths = [Path(-1, "", 1.0, False)]
+    known: dict[tuple[int, str, float], int] = {}
+    stack, nodes = _Stack(), []
     current: Node | None = None
     anchors, at, size = 0, 0, len(page)
     last = page.rfind(">")
@@ -101,45 +187,23 @@ def parse(page: str) -> tuple[list[Element], list[Node]]:
                 continue
             current = None
             for other in CLOSES.get(tag, ()):
-                for k in range(len(stack) - 1, 0, -1):
-                    name = elements[stack[k]].tag
-                    if name == other:
-                        del stack[k:]
-                        break
-                    if name in SCOPE:
-                        break
+                stack.cut(other, scoped=True)
             if tag in VOID or attributes.rstrip().endswith("/"):
                 continue
-            parent, hint = elements[stack[-1]], tag in BOILER
-            label = tag
-            if attributes and not attributes.isspace():
-                for a in ATTRIBUTE.finditer(attributes):
-                    name, value = a[1].lower(), a[2] or a[3] or a[4] or ""
-                    if name in ("class", "id"):
-                        hint |= bool(BOILER_HINT.search(value)) and tag not in MAIN and tag not in ("body", "html")
-                        label += "." + value.strip().lower() if name == "class" and value else ""
-                    elif name == "role":
-                        hint |= value.lower() in BOILER_ROLE
-                    elif name == "hidden" or name == "aria-hidden" and value == "true":
-                        hint |= True
-                    elif name == "style":
-                        hint |= "display:none" in value.replace(" ", "").lower()
-            if tag == "header":  # a page's header, not an article's
-                hint |= not any(elements[k].tag in MAIN for k in stack)
-            elements.append(Element(tag, stack[-1], f"{parent.path}/{label}", parent.boiler or hint, parent.depth + 1))
-            stack.append(len(elements) - 1)
+            up = stack.paths[-1]
+            label, factor = label_of(tag, attributes, paths[up].main)
+            path = known.get((up, label, factor))
+            if path is None:
+                path = known[up, label, factor] = len(paths)
+                paths.append(Path(up, label, max(paths[up].evidence * factor, 1e-12), paths[up].main or tag in MAIN))
+            stack.push(tag, path)
         elif closing:
             tag = closing.lower()
             if tag in INLINE:
                 anchors -= tag == "a" and anchors > 0
                 continue
             current = None
-            for k in range(len(stack) - 1, 0, -1):
-                if elements[stack[k]].tag == tag:
-                    del stack[k:]
-                    break
-                if tag == "p" and elements[stack[k]].tag in SCOPE:
-                    break
+            stack.cut(tag, scoped=tag == "p")
         else:
             text = m[0]
             if re.match("<[a-zA-Z/!?]", text):  # a comment, a declaration or an open tag
@@ -147,79 +211,64 @@ def parse(page: str) -> tuple[list[Element], list[Node]]:
             if current is None:
                 if text.isspace():
                     continue
-                current = Node(stack[-1])
+                current = Node(stack.paths[-1])
                 nodes.append(current)
             decoded = entities.unescape(text)
             current.pieces.append(decoded)
             if anchors:
                 current.linked += len(decoded)
-    return elements, nodes
+    return paths, nodes
+
 
+def smoothed(values: np.ndarray) -> np.ndarray:
+    """Gaussian means over ``REACH`` blocks to either side; at the ends over those that are there."""
+    kernel = np.exp(-0.5 * (np.arange(-REACH, REACH + 1) / SIGMA) ** 2)
+    cut = slice(REACH, REACH + len(values))
+    return np.convolve(values, kernel)[cut] / np.convolve(np.ones(len(values)), kernel)[cut]
 
-def _smoothed(values: np.ndarray) -> np.ndarray:
-    reach = 2
-    kernel = np.exp(-0.5 * (np.arange(-reach, reach + 1) / SIGMA) ** 2)
-    padded = np.convolve(values, kernel)[reach : reach + len(values)]
-    return padded / np.convolve(np.ones(len(values)), kernel)[reach : reach + len(values)]
 
+def path_values(own: np.ndarray, chars: np.ndarray, points: np.ndarray, linked: np.ndarray, evidence: np.ndarray) -> np.ndarray:
+    """The fused value of each path (numbers 0 to ``len(evidence)`` - 1), from the blocks' paths and counts.
 
-def extract(page: str | None) -> list[str]:
-    """The article's text blocks in page order; none for a null, empty or textless page."""
-    elements, nodes = parse(page or "")
-    texts = [" ".join("".join(n.pieces).split()) for n in nodes]
-    live = [k for k, t in enumerate(texts) if t and not elements[nodes[k].owner].boiler]
-    if not live:
+    Text and punctuation per block of a path, both smoothed along the page, are fused by
+    their geometric mean, averaged by path, and scaled by the unlinked share and the evidence.
+    """
+    k = len(evidence)
+    n = np.maximum(np.bincount(own, minlength=k), 1)
+    mean = lambda x: np.bincount(own, weights=x, minlength=k) / n
+    text, punctuation = smoothed(mean(chars)[own]), smoothed(mean(points)[own])
+    fused = mean(np.sqrt(text * (1 + punctuation)))
+    unlinked = 1 - np.minimum(1, mean(linked) / np.maximum(mean(chars), 1))
+    return fused * unlinked * evidence
+
+
+def extract(page: str | None, threshold: float | None = None) -> list[str]:
+    """The article's text blocks in page order; none for a null, empty or textless page.
+
+    ``threshold`` stands for ``THRESHOLD``.  The typical value is the mean over the blocks,
+    weighted by their text and value.
+    """
+    threshold = THRESHOLD if threshold is None else threshold
+    paths, nodes = parse(page or "")
+    pairs = [(n, t) for n in nodes if (t := " ".join("".join(n.pieces).split()))]
+    if not pairs:
         return []
-    sums: dict[str, list[float]] = {}
-    for k in live:
-        s = sums.setdefault(elements[nodes[k].owner].path, [0, 0, 0, 0])
-        s[0] += 1
-        s[1] += len(texts[k])
-        s[2] += len(PUNCTUATION.findall(texts[k]))
-        s[3] += nodes[k].linked
-    fused = {p: (c / n) * (1 + u / n) * max(0.0, 1 - a / max(c, 1)) for p, (n, c, u, a) in sums.items()}
-    value = np.array([fused[elements[nodes[k].owner].path] for k in live])
-    smooth = np.sqrt(_smoothed(value) * value)
-    chosen = [k for k, v in zip(live, smooth) if v >= THRESHOLD * smooth.mean()]
-    if not chosen or not value.any():
-        chosen = live
-    # The smallest element that holds most of the chosen text.
-    weight: dict[int, float] = {}
-    total = 0.0
-    for k in chosen:
-        w, e = float(len(texts[k])), nodes[k].owner
-        total += w
-        while e >= 0:
-            weight[e] = weight.get(e, 0.0) + w
-            e = elements[e].parent
-    holders = [e for e, w in weight.items() if w >= CONTAINER_SHARE * total]
-    home = max(holders, key=lambda e: elements[e].depth)
-    while elements[home].tag in PROSE | HEADINGS and elements[home].parent > 0:
-        home = elements[home].parent
-    up = home
-    while up > 0:  # an article that encloses it is the article
-        if elements[up].tag in MAIN:
-            home = up
-            break
-        up = elements[up].parent
-    inside: dict[int, bool] = {}
-
-    def within(e: int) -> bool:
-        trail = []
-        while e >= 0 and e not in inside and e != home:
-            trail.append(e)
-            e = elements[e].parent
-        found = e == home or (e >= 0 and inside[e])
-        for x in trail:
-            inside[x] = found
-        return found
-
-    picked = set(chosen)
-    out = []
-    for k in live:
-        if within(nodes[k].owner) and (k in picked or nodes[k].linked * 2 <= len(texts[k])):
-            out.append(texts[k])
-    return out
+    texts = [t for _, t in pairs]
+    used, own = np.unique([n.path for n, _ in pairs], return_inverse=True)
+    chars = np.array([len(t) for t in texts], float)
+    points = np.array([len(PUNCTUATION.findall(t)) for t in texts], float)
+    linked = np.minimum(np.array([n.linked for n, _ in pairs], float), chars)
+    evidence = np.array([paths[p].evidence for p in used])
+    value = path_values(own, chars, points, linked, evidence)
+    weight = chars * value[own]
+    typical = float((weight * value[own]).sum() / weight.sum()) if weight.any() else 0.0
+    selected = (value >= threshold * typical) & (value >= LEAST_VALUE)
+    taken = selected[own]
+    if taken.any():
+        first, last = np.flatnonzero(taken)[[0, -1]]
+        between = (evidence[own] >= GAP_EVIDENCE) & (linked <= GAP_LINKED * chars)
+        taken[first : last + 1] |= between[first : last + 1]
+    return [t for t, x in zip(texts, taken) if x]
 
 
 def main_text(page: str | None) -> str:
