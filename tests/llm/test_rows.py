@@ -10,7 +10,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from palimpsest.llm import chat_format, decontaminate, html_text, language_id, quality_rules, secret_scan, toxicity
+from palimpsest.llm import chat_format, decontaminate, html_text, language_id, quality_rules, secret_scan
 from palimpsest.llm.queries import ORACLE_SQL, QUERIES
 from tests.conftest import SF
 
@@ -189,24 +189,6 @@ def test_language(spark, odd):
         language_id.PIECE = 1 << 20
 
 
-def test_toxicity(spark, odd):
-    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
-    model = toxicity.fitted(docs.select("doc_id", "text"), labels)
-    x = model.index.x
-    for k in range(0, len(x), 7):  # the index finds what a full scan finds
-        at = x[k].nonzero()[0]
-        rows, sims = model.index.nearest(at, x[k, at], 5)
-        full = x[:, at] @ x[k, at]
-        order = sorted(range(len(x)), key=lambda i: (-full[i], i))[:5]
-        assert [round(float(s), 5) for s in sims] == [round(float(full[i]), 5) for i in order if full[i] > 0]
-    out = toxicity.score_texts(odd, model).collect()
-    assert len(out) == len(ODD) and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5) for r in out)
-    scored = docs.select("doc_id", "text").join(labels, "doc_id")
-    got = [(r["toxic"], r["score"]) for r in toxicity.score_texts(scored, model).select("toxic", "score").collect()]
-    high, low = [s for y, s in got if y == 1], [s for y, s in got if y == 0]
-    assert sum(high) / len(high) > 0.5 and sum(low) / len(low) < 0.1
-
-
 def _tiles(p, t, least):
     fp, ft, n = [True] * len(p), [True] * len(t), 0
     while True:
