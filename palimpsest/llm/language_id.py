@@ -126,10 +126,16 @@ def cluster(x: np.ndarray, k: int, seed: int = 7, rounds: int = 12) -> tuple[np.
     return c, (x @ c.T).max(axis=1)
 
 
-def fit(labelled: DataFrame, text_col: str, lang_col: str, per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
-    """A model of the rows of ``labelled`` that have a language and a text with a letter."""
+def fit(labelled: DataFrame, text_col: str, lang_col: str, id_col: str | None = None, per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
+    """A model of the rows of ``labelled`` that have a language and a text with a letter.
+
+    About ``per_language`` rows of each language are drawn, by text and id alone, so that the
+    model depends on the rows and neither on their order nor on their partitions; rows equal
+    in both count once among those drawn.
+    """
+    own = F.lit(None).cast("string") if id_col is None else F.col(id_col).cast("string")
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
-        F.col(lang_col).alias("lang"), F.col(text_col).alias("text")
+        F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), own.alias("id")
     )
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not sizes:
@@ -159,10 +165,10 @@ def fit(labelled: DataFrame, text_col: str, lang_col: str, per_language: int = S
 
     draw = None
     for lang, n in sizes.items():
-        one = (F.col("lang") == lang) & (sha_uniform(F.struct("text", "r"), "centroids") < per_language / n)
+        one = (F.col("lang") == lang) & (sha_uniform(F.struct("text", "id"), "centroids") < per_language / n)
         draw = one if draw is None else draw | one
-    drawn = rows.withColumn("r", F.monotonically_increasing_id()).where(draw).withColumn("h", F.xxhash64("text", "r"))
-    got = drawn.mapInPandas(vectors, "lang string, h long, n long, v binary").limit(3 * per_language * len(sizes)).collect()
+    drawn = rows.where(draw).withColumn("h", F.xxhash64("text", "id")).groupBy("lang", "h").agg(F.min("text").alias("text"))
+    got = drawn.mapInPandas(vectors, "lang string, h long, n long, v binary").collect()
     got.sort(key=lambda r: (r["lang"], r["h"], bytes(r["v"])))
     languages = sorted({r["lang"] for r in got})
     if not languages:
@@ -186,7 +192,8 @@ def fit(labelled: DataFrame, text_col: str, lang_col: str, per_language: int = S
 def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """``docs`` with ``lang_pred``, ``score``, ``cosine`` and ``rejected``; one row for each input row.
 
-    A null text, or one without a letter, is ``und`` with score 0 and rejected.  Equal
+    A null text, or one without a letter, is ``und`` with score 0 and rejected; so is every
+    text where no labelled row has a language and a text with a letter.  Equal
     cosines go to the language first in order.  Input columns named like new ones are
     replaced.  No shuffle; the model (fixed size) is broadcast.
     """
@@ -202,7 +209,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
 def fitted(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> Model:
     """The model learned from the rows that are not held out."""
     bounded_batches(docs.sparkSession)
-    return fit(docs.where(~held_out(F.col(id_col))), text_col, lang_col)
+    return fit(docs.where(~held_out(F.col(id_col))), text_col, lang_col, id_col)
 
 
 def language_query(spark: SparkSession, sf_dir: str) -> DataFrame:
