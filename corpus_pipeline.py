@@ -1,4 +1,4 @@
-"""A corpus pipeline of five operators: from raw documents to rates for training.
+"""A corpus pipeline of five operators: from raw documents to cleaned ones with rates for training.
 
 ``run`` applies ``STAGES`` in order.  Every stage takes (spark, docs, sf_dir) and works on
 all rows it is given; all but the last return the columns of ``documents``.
@@ -31,14 +31,17 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Masks every secret in the text and counts its characters anew; no document goes."""
     found = secret_scan.scan(docs, secret_scan.trained(docs))
-    clean = F.when(F.size("all_spans") == 0, F.col("text")).otherwise(secret_scan.redacted(F.col("text"), F.col("all_spans")))
-    n_chars = F.when(F.size("all_spans") == 0, F.col("n_chars")).otherwise(F.length(clean).cast("long"))
-    return found.withColumns({"text": clean, "n_chars": n_chars}).select(docs.columns)
+    some = F.size("all_spans") > 0
+    masked = found.withColumn("text", F.when(some, secret_scan.redacted(F.col("text"), F.col("all_spans"))).otherwise(F.col("text")))
+    return masked.withColumn("n_chars", F.when(some, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rates and copies that bring the sources to equal token totals."""
-    return mixing.mix(docs, docs, domain_col="source")
+    """The documents with the rates and copies that bring the sources to equal token totals.
+
+    A row says how often its text is to be read (``copies``, 0 for not at all); the rows stay.
+    """
+    return mixing.mix(docs, docs, domain_col="source", keep=True)
 
 
 STAGES = [
