@@ -10,23 +10,29 @@ shorter than ``MIN_TILE`` tokens is leaked where it stands as a whole.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches
+from .common import bounded_batches, staged
 
 WORD = re.compile(r"\w+")
 MIN_TILE = 3
 MIN_COVERAGE = 0.7
-#: Characters of benchmark text that are broadcast at a time; a larger benchmark goes in blocks.
-BLOCK_CHARS = 4_000_000
+#: Characters of benchmark text that are broadcast at most; the seeds of a larger benchmark are joined.
+BROADCAST_CHARS = 4_000_000
+#: Bits of the filter (of fixed size) that keeps runs which no item has out of that join.
+FILTER_BITS = 24
 _MUL = 0x9E3779B97F4A7C15
+#: Modulus and base of the running hashes of the tiling.
+_PRIME, _BASE = (1 << 61) - 1, 1_000_003
 
 
 def tokens(text: str) -> list[str]:
@@ -35,45 +41,58 @@ def tokens(text: str) -> list[str]:
 
 
 def _rolling(ids: np.ndarray, width: int) -> np.ndarray:
-    """Karp-Rabin hashes (modulo 2**64) of all windows of ``width`` numbers."""
-    h = np.zeros(len(ids) - width + 1, np.uint64)
-    for k in range(width):
-        h = h * np.uint64(_MUL) + (ids[k : len(ids) - width + 1 + k].astype(np.uint64) + np.uint64(1))
-    return h
-
-
-def tile(pattern: list[int], text: list[int], least: int = MIN_TILE) -> list[tuple[int, int, int]]:
-    """Greedy string tiling: (start in pattern, start in text, length) of the tiles, longest first.
-
-    Equal lengths go by start in the pattern, then in the text.  Tokens that the pattern
+    """Karp-Rabin hashes (modulo 2**64) of all windows of ``width`` numbers, as differences of a running sum."""
+    factor = np.full(len(ids) + 1, _MUL, np.uint64)
+    factor[0] = 1
+    power = np.cumprod(factor)
+    inverse = np.full(len(ids), pow(_MUL, -1, 1 << 64), np.uint64)
+    inverse[:1] = 1
+    total = np.zeros(len(ids) + 1, np.uint64)
+    np.cumsum((ids.astype(np.uint64) + np.uint64(1)) * np.cumprod(inverse), out=total[1:])
+    return (total[width:] - total[:-width]) * power[: len(ids) - width + 1]
+
+
+def _running(seq: list[int], free: list[bool], size: int) -> Iterator[tuple[int, int]]:
+    """(start, Karp-Rabin hash) of all windows of ``size`` free tokens; the hash runs along from window to window."""
+    gone = pow(_BASE, size, _PRIME)
+    run = h = 0
+    for j, x in enumerate(seq):
+        if not free[j]:
+            run = h = 0
+            continue
+        h = (h * _BASE + x + 2) % _PRIME
+        run += 1
+        if run > size:
+            h = (h - (seq[j - size] + 2) * gone) % _PRIME
+        if run >= size:
+            yield j - size + 1, h
+
+
+def tile(pattern: list, text: list, least: int = MIN_TILE) -> list[tuple[int, int, int]]:
+    """Greedy string tiling by running Karp-Rabin: (start in pattern, start in text, length), longest first.
+
+    Equal lengths go by start in the pattern, then in the text.  Windows of the current
+    length are met by their running hashes, compared, and extended.  Tokens that the pattern
     lacks split the text into stretches, of which those shorter than ``least`` are left out.
     """
-    mine = set(pattern)
-    free_p, free_t = [True] * len(pattern), [t in mine for t in text]
+    numbers: dict = {}
+    pattern = [numbers.setdefault(x, len(numbers)) for x in pattern]
+    text = [numbers.get(x, -1) for x in text]
+    free_p, free_t = [True] * len(pattern), [x >= 0 for x in text]
     tiles: list[tuple[int, int, int]] = []
     size = len(pattern)
     while size >= least:
-        # Windows of the text that are free, by hash; each hit is compared and then extended.
         seen: dict[int, list[int]] = {}
-        run = 0
-        for j, free in enumerate(free_t):
-            run = run + 1 if free else 0
-            if run >= size:
-                start = j - size + 1
-                seen.setdefault(hash(tuple(text[start : j + 1])), []).append(start)
+        for start, h in _running(text, free_t, size):
+            seen.setdefault(h, []).append(start)
         matches = []
-        run = 0
-        for i, free in enumerate(free_p):
-            run = run + 1 if free else 0
-            if run >= size and seen:
-                start = i - size + 1
-                part = pattern[start : i + 1]
-                for at in seen.get(hash(tuple(part)), ()):
-                    if text[at : at + size] == part:
-                        n = size
-                        while start + n < len(pattern) and at + n < len(text) and free_p[start + n] and free_t[at + n] and pattern[start + n] == text[at + n]:
-                            n += 1
-                        matches.append((-n, start, at))
+        for start, h in _running(pattern, free_p, size) if seen else ():
+            for at in seen.get(h, ()):
+                if text[at : at + size] == pattern[start : start + size]:
+                    n = size
+                    while start + n < len(pattern) and at + n < len(text) and free_p[start + n] and free_t[at + n] and pattern[start + n] == text[at + n]:
+                        n += 1
+                    matches.append((-n, start, at))
         matches.sort()
         for n, start, at in matches:
             n = -n
@@ -171,64 +190,147 @@ class Items:
         return out
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[Items]:
-    """The benchmark in blocks of about ``BLOCK_CHARS``; null texts and repeated rows add nothing."""
+def _items(benchmark: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, bool]:
+    """Distinct (i, t) of the benchmark without null texts, and whether they may be broadcast."""
     rows = benchmark.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).distinct()
-    chars = rows.agg(F.sum(F.length("t"))).first()[0] or 0
-    n = -(-chars // BLOCK_CHARS)
-    for b in range(n):
-        part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == b)
-        yield Items.of(sorted(((r["i"], r["t"]) for r in part.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1])))
+    return rows, (rows.agg(F.sum(F.length("t"))).first()[0] or 0) <= BROADCAST_CHARS
+
+
+def _in_order(rows) -> list[tuple[int, str]]:
+    return sorted(((r["i"], r["t"]) for r in rows), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+
+
+FOUND = "item_id long, n_matched long, n_tokens long, coverage double"
+
+
+def _word_grams(text: str | None) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """For each width up to ``MIN_TILE`` the distinct runs of so many tokens: signed hashes, and how often each occurs."""
+    toks = tokens(text or "")
+    ids = np.array([int.from_bytes(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") for w in toks], np.uint64)
+    out = {}
+    for width in range(1, min(MIN_TILE, len(ids)) + 1):
+        h, n = np.unique(_rolling(ids, width) * np.uint64(2 * width + 1), return_counts=True)
+        out[width] = h.view(np.int64), n
+    return out
+
+
+def _joined_leaks(texts: DataFrame, items: DataFrame, coverage: float) -> DataFrame:
+    """(key, item_id, n_matched, n_tokens, coverage) of ``texts`` (key, text; each text once), by a join of seeds.
+
+    Seeds are the runs of ``MIN_TILE`` tokens of an item (all its tokens, if it is shorter).
+    A run of w tokens that occurs m times covers at most w x m tokens: only pairs whose
+    shared runs could cover enough are tiled, which loses no leak.  Texts are listed by runs
+    that a filter of 2^``FILTER_BITS`` bits of the items' runs lets through; Spark splits the
+    runs that many texts share.  Nothing but the filter is collected.
+    """
+    spark = texts.sparkSession
+    items = staged(items.withColumn("item", F.xxhash64("i", "t")), "items")
+
+    def of_items(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for item, t in zip(b["item"], b["t"]):
+                size = len(tokens(t))
+                if size:
+                    width = min(size, MIN_TILE)
+                    out += [(g, item, size, width * n) for g, n in zip(*(x.tolist() for x in _word_grams(t)[width]))]
+            yield pd.DataFrame(out, columns=["g", "item", "size", "most"])
+
+    seeds = staged(items.select("item", "t").mapInPandas(of_items, "g long, item long, size int, most long"), "seeds")
+    bit = F.pmod("g", F.lit(1 << FILTER_BITS))
+    words = seeds.groupBy(F.shiftright(bit, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(g, {1 << FILTER_BITS}) % 64 as int))")).alias("bits"))
+    got = words.toPandas()
+    mask = np.zeros(1 << FILTER_BITS - 6, np.int64)
+    mask[got["w"].to_numpy()] = got["bits"].to_numpy()
+    held = spark.sparkContext.broadcast(mask.view(np.uint64))
+
+    def of_texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bits = held.value
+        for b in batches:
+            keys, grams = [], []
+            for key, t in zip(b["key"], b["text"]):
+                for h, _ in _word_grams(t).values():
+                    at = h.view(np.uint64) & np.uint64((1 << FILTER_BITS) - 1)
+                    h = h[(bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1]
+                    keys += [key] * len(h)
+                    grams += h.tolist()
+            yield pd.DataFrame({"key": keys, "g": grams}, columns=["key", "g"])
+
+    shared = texts.mapInPandas(of_texts, "key binary, g long").join(seeds, "g")
+    pairs = shared.groupBy("key", "item").agg(F.sum("most").alias("most"), F.first("size").alias("size"))
+    pairs = staged(pairs.where(F.least(F.col("most"), F.col("size")) >= F.col("size") * F.lit(coverage - 1e-9)).select("key", "item"), "pairs")
+
+    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for key, text, i, t in zip(b["key"], b["text"], b["i"], b["t"]):
+                out += [(key, *r) for r in Items.of([(None if pd.isna(i) else int(i), t)]).leaks(text, coverage)]
+            yield pd.DataFrame(out, columns=["key", "item_id", "n_matched", "n_tokens", "coverage"])
+
+    both = pairs.join(texts, "key").join(items, "item").select("key", "text", "i", "t")
+    return staged(both.mapInPandas(verify, f"key binary, {FOUND}"), "leaks")
+
+
+def _keyed(docs: DataFrame, text_col: str) -> DataFrame:
+    return docs.withColumn("__key", F.unhex(F.sha2(F.col(text_col), 256)))
+
+
+def _distinct_texts(docs: DataFrame, text_col: str) -> DataFrame:
+    texts = _keyed(docs.where(F.col(text_col).isNotNull()), text_col)
+    return staged(texts.groupBy(F.col("__key").alias("key")).agg(F.first(text_col).alias("text")), "texts")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", coverage: float = MIN_COVERAGE) -> DataFrame:
     """One row (document id, item_id, n_matched, n_tokens, coverage) for each leaked item of each input row.
 
-    Null texts and items without a token leak nothing.
-    A document row that stands twice is reported twice.  Documents are not shuffled.
+    Null texts and items without a token leak nothing.  A document row that stands twice is
+    reported twice.  A benchmark of up to ``BROADCAST_CHARS`` goes to all tasks and documents
+    are not shuffled; the seeds of a larger one are joined, with the same result.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
+    rows, small = _items(benchmark, item_col, "text")
     base = docs.select(id_col, text_col)
-    schema = T.StructType([base.schema[id_col]] + T._parse_datatype_string("item_id long, n_matched long, n_tokens long, coverage double").fields)
-    out = None
-    for items in _blocks(benchmark, item_col, "text"):
-        held = spark.sparkContext.broadcast(items)
+    if not small:
+        found = _joined_leaks(_distinct_texts(base, text_col), rows, coverage).withColumnRenamed("key", "__key")
+        return _keyed(base, text_col).select(id_col, "__key").join(found, "__key").drop("__key")
+    schema = T.StructType([base.schema[id_col]] + T._parse_datatype_string(FOUND).fields)
+    held = spark.sparkContext.broadcast(Items.of(_in_order(rows.collect())))
 
-        def run(batches, held=held):
-            import pyarrow as pa
+    def run(batches):
+        import pyarrow as pa
 
-            for b in batches:
-                at, rows = [], []
-                for k, t in enumerate(b.column(1).to_pylist()):
-                    for r in held.value.leaks(t, coverage):
-                        at.append(k)
-                        rows.append(r)
-                cols = list(zip(*rows)) if rows else [(), (), (), ()]
-                made = [pa.array(list(c), x) for c, x in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.float64()))]
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), *made], names=schema.names)
+        for b in batches:
+            at, rows = [], []
+            for k, t in enumerate(b.column(1).to_pylist()):
+                for r in held.value.leaks(t, coverage):
+                    at.append(k)
+                    rows.append(r)
+            cols = list(zip(*rows)) if rows else [(), (), (), ()]
+            made = [pa.array(list(c), x) for c, x in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.float64()))]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), *made], names=schema.names)
 
-        part = base.mapInArrow(run, schema)
-        out = part if out is None else out.unionByName(part)
-    return spark.createDataFrame([], schema) if out is None else out
+    return base.mapInArrow(run, schema)
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", coverage: float = MIN_COVERAGE) -> DataFrame:
-    """The rows of ``docs``, all columns unchanged, that leak no item.  No shuffle."""
+    """The rows of ``docs``, all columns unchanged, that leak no item; as in ``leaks``, a large benchmark is joined."""
     spark = docs.sparkSession
     bounded_batches(spark)
+    rows, small = _items(benchmark, item_col, "text")
+    if not small:
+        found = _joined_leaks(_distinct_texts(docs.select(text_col), text_col), rows, coverage).select(F.col("key").alias("__key"))
+        return _keyed(docs, text_col).join(found, "__key", "left_anti").select(*docs.columns)
     at = docs.schema.names.index(text_col)
-    for items in _blocks(benchmark, item_col, "text"):
-        held = spark.sparkContext.broadcast(items)
+    held = spark.sparkContext.broadcast(Items.of(_in_order(rows.collect())))
 
-        def run(batches, held=held):
-            import pyarrow as pa
+    def run(batches):
+        import pyarrow as pa
 
-            for b in batches:
-                yield b.filter(pa.array([not held.value.leaks(t, coverage) for t in b.column(at).to_pylist()], pa.bool_()))
+        for b in batches:
+            yield b.filter(pa.array([not held.value.leaks(t, coverage) for t in b.column(at).to_pylist()], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    return docs.mapInArrow(run, docs.schema)
 
 
 def leaks_query(spark: SparkSession, sf_dir: str) -> DataFrame:
