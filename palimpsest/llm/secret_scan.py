@@ -37,8 +37,9 @@ def labelled_samples(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
 
     Random ones are digests in hexadecimal, base 64 and letters with digits.  Ordinary
     ones are words, words joined by underscores, hyphens, slashes and capitals, and plain
-    numbers, from at most about ``WORD_DOCUMENTS`` documents drawn by their text, without the tokens
-    that follow a credential keyword.  The bound is on labelled rows alone.
+    numbers, from the whole texts of about ``WORD_DOCUMENTS`` documents, without the tokens
+    that follow a credential keyword.  Documents are drawn by id and text; rows equal in both
+    count once among those drawn.  The bound is on labelled rows alone.
     """
     spark = docs.sparkSession
     digest = F.sha2(F.col("id").cast("string"), 256)
@@ -50,8 +51,10 @@ def labelled_samples(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
     numbers = spark.range(0, NUMBERS, 1, 1).select(F.pmod(F.xxhash64("id"), F.lit(10**16)).cast("string").alias("token"))
     total = docs.agg(F.count(F.lit(1))).first()[0]
     share = WORD_DOCUMENTS / max(total, 1)
-    text = F.regexp_replace(F.substring(F.coalesce(F.col(text_col), F.lit("")), 1, 20000), ASSIGN, " ")
-    drawn = docs.where(sha_uniform(F.coalesce(F.col(text_col), F.lit("")), "words") < share) if share < 1 else docs
+    rows = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("t"), F.col(id_col).cast("string").alias("i"))
+    drawn = rows.where(sha_uniform(F.struct("t", "i"), "words") < share) if share < 1 else rows
+    drawn = drawn.groupBy(F.xxhash64("t", "i").alias("h")).agg(F.min("t").alias("t"))
+    text = F.regexp_replace("t", ASSIGN, " ")
     ws = drawn.select(F.array_distinct(F.filter(F.regexp_extract_all(text, F.lit("[A-Za-z0-9]+"), F.lit(0)), lambda w: F.length(w) < 24)).alias("w"))
 
     def triple(sep: str, form) -> Column:
@@ -169,18 +172,15 @@ def scan(docs: DataFrame, llr: list[float], text_col: str = "text", min_llr: flo
 
 def redacted(text: Column, spans: Column, mask: str = "[SECRET]") -> Column:
     """``text`` with each span replaced; of overlapping spans the earlier ends where the later begins."""
-    size = F.size(spans)
-    before = F.transform(
-        spans,
-        lambda s, i: let(
-            F.coalesce(F.array_max(F.transform(F.slice(spans, 1, i), lambda e: e["end"])), F.lit(0).cast("long")),
-            lambda done: F.when(s["start"] < done, F.lit("")).otherwise(
-                F.concat(F.substring(text, (done + 1).cast("int"), (s["start"] - done).cast("int")), F.lit(mask))
-            ),
-        ),
-    )
-    last = F.array_max(F.transform(spans, lambda s: s["end"]))
-    return F.when(size == 0, text).otherwise(F.concat(F.array_join(before, ""), F.substring(text, (last + 1).cast("int"), F.length(text))))
+    start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("done"))
+
+    def cover(acc: Column, s: Column) -> Column:
+        between = F.concat(acc["out"], F.substring(text, (acc["done"] + 1).cast("int"), (s["start"] - acc["done"]).cast("int")), F.lit(mask))
+        out = F.when(s["start"] < acc["done"], acc["out"]).otherwise(between)
+        return F.struct(out.alias("out"), F.greatest(acc["done"], s["end"]).alias("done"))
+
+    rest = lambda acc: F.concat(acc["out"], F.substring(text, (acc["done"] + 1).cast("int"), F.length(text)))
+    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(spans, start, cover, rest))
 
 
 def trained(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> list[float]:
