@@ -7,6 +7,8 @@ rejected, as is one that fails the base rules (too few words, too many repeated
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,10 +25,15 @@ SYMBOLS = r"[#*$%&|<>]"
 SENTENCE_END = r"""[.!?\x22'):;\x{2026}\x{201D}\x{00BB}]$"""
 SHOUTED = r"!!|\?\?"
 NAV_MARK = r"[|\x{00BB}\x{203A}\x{2022}]"
-BOILERPLATE = (
-    "rights reserved", "privacy policy", "terms of use", "terms of service", "cookie policy", "enable javascript", "click here", "subscribe to our",
-    "lorem ipsum", "skip to content",
-)
+#: Stock phrases in lower case, by language; every line is tried against all of them.
+PHRASES = {
+    "en": ("rights reserved", "privacy policy", "terms of use", "terms of service", "cookie policy", "enable javascript", "click here", "subscribe to our", "skip to content"),
+    "de": ("alle rechte vorbehalten", "datenschutzerklärung", "allgemeine geschäftsbedingungen", "cookie-richtlinie", "javascript aktivieren", "klicken sie hier", "zum inhalt springen"),
+    "fr": ("tous droits réservés", "politique de confidentialité", "conditions d'utilisation", "mentions légales", "activer javascript", "cliquez ici", "aller au contenu"),
+    "es": ("todos los derechos reservados", "política de privacidad", "términos de uso", "aviso legal", "política de cookies", "haga clic aquí", "ir al contenido"),
+    "": ("lorem ipsum",),
+}
+BOILERPLATE = tuple(p for ps in PHRASES.values() for p in ps)
 
 
 def words_of(text: Column) -> Column:
@@ -47,25 +54,36 @@ def _any(text: Column, phrases) -> Column:
 def repeated_words(words: Column) -> Column:
     """Words that lie in a three-word window found twice or more, each counted once.
 
-    Windows of one text are told apart by 64-bit hashes.
+    Windows are sorted by a prefix of their hash, with their positions; where two windows of
+    one prefix differ, or positions need more bits, the words themselves are sorted instead.
     """
+    bits = 20
+    prefix = lambda x: F.shiftright(x, bits)
+    position = lambda x: x.bitwiseAND(F.lit((1 << bits) - 1)).cast("int")
 
     def grams(ws: Column) -> Column:
         n, pair = F.size(ws), lambda a, b: F.xxhash64(a, b)
         return F.slice(F.zip_with(F.zip_with(ws, F.slice(ws, 2, n), pair), F.slice(ws, 3, n), pair), 1, n - 2)
 
-    def repeated(gs: Column) -> Column:
-        # A sorted array of hash prefixes with positions: longs sort several times faster than structs.
-        # A text of more than a million words keeps whole hashes.
-        bits = 20
+    def repeated(ws: Column, gs: Column) -> Column:
+        # Longs sort several times faster than structs.
         packed = F.sort_array(F.transform(gs, lambda g, i: F.shiftleft(F.shiftright(g, bits), bits).bitwiseOR(i.cast("long"))))
-        whole = F.sort_array(F.transform(gs, lambda g, i: F.struct(g.alias("g"), i.alias("i"))))
-        prefix = lambda x: F.shiftright(x, bits)
-        short = let(packed, lambda s: _covered(s, prefix, lambda x: x.bitwiseAND(F.lit((1 << bits) - 1)).cast("int")))
+        window = lambda i: F.struct(F.get(ws, i).alias("a"), F.get(ws, i + 1).alias("b"), F.get(ws, i + 2).alias("c"))
+        whole = F.sort_array(F.transform(gs, lambda g, i: F.struct(window(i).alias("w"), i.alias("i"))))
+        exact = let(whole, lambda s: _covered(s, lambda x: x["w"], lambda x: x["i"]))
+
+        def by_prefix(s: Column) -> Column:
+            unlike = lambda x, y: window(position(x)) != window(position(y))
+            clash = F.exists(
+                F.sequence(F.lit(1), F.size(s) - 1),
+                lambda k: (prefix(F.get(s, k)) == prefix(F.get(s, k - 1))) & unlike(F.get(s, k), F.get(s, k - 1)),
+            )
+            return F.when(clash, exact).otherwise(_covered(s, prefix, position))
+
         alone = F.size(F.array_distinct(gs)) == F.size(gs)
-        return F.when(alone, 0).when(F.size(gs) < (1 << bits), short).otherwise(let(whole, lambda s: _covered(s, lambda x: x["g"], lambda x: x["i"])))
+        return F.when(alone, 0).when(F.size(gs) < (1 << bits), let(packed, by_prefix)).otherwise(exact)
 
-    return F.when(F.size(words) < 3, F.lit(0)).otherwise(let(words, lambda ws: let(grams(ws), repeated)))
+    return F.when(F.size(words) < 3, F.lit(0)).otherwise(let(words, lambda ws: let(grams(ws), lambda gs: repeated(ws, gs))))
 
 
 def _covered(ordered: Column, key, position) -> Column:
@@ -77,10 +95,10 @@ def _covered(ordered: Column, key, position) -> Column:
     return F.size(F.array_distinct(F.flatten(F.transform(twice, lambda x: F.array(position(x), position(x) + 1, position(x) + 2)))))
 
 
-def bad_line(raw: Column, symbols: Column, shouts: Column, marks: Column, phrases: Column) -> Column:
+def bad_line(raw: Column, symbols: Column, shouts: Column, marks: Column, stocked: Column, phrases: Sequence[str] = BOILERPLATE) -> Column:
     """True if a line with a word breaks a rule.
 
-    The other arguments say whether the whole text has a symbol, shout, mark or phrase at
+    The next arguments say whether the whole text has a symbol, shout, mark or phrase at
     all; where it has none, its lines need not be searched for one.
     """
 
@@ -90,7 +108,7 @@ def bad_line(raw: Column, symbols: Column, shouts: Column, marks: Column, phrase
         noisy = symbols & (F.regexp_count(line, F.lit(SYMBOLS)) * 10 > F.length(line))
         loud = shouts & (F.regexp_count(line, F.lit(SHOUTED)) * 4 > n_words)
         menu = marks & (F.regexp_count(line, F.lit(NAV_MARK)) * 3 > n_words)
-        stock = phrases & let(F.lower(line), lambda low: _any(low, BOILERPLATE))
+        stock = stocked & let(F.lower(line), lambda low: _any(low, phrases))
         return few | noisy | loud | menu | stock
 
     return let(_stripped(raw), breaks)
@@ -102,9 +120,12 @@ def clean_lines(
     min_words: int = MIN_WORDS,
     max_repeat_percent: int = MAX_REPEAT_PERCENT,
     max_lost: float = MAX_LOST,
+    phrases: Sequence[str] = BOILERPLATE,
 ) -> DataFrame:
     """``docs`` with the counts, ``base_failed``, ``clean_text``, ``lost_chars`` and ``kept``.
 
+    ``phrases`` are the stock phrases, in lower case, of the languages that are expected.
+
     A null text counts as an empty one: no words, base failed, not kept.  Each input row,
     repeated ones too, gives one output row.  Input columns whose names clash with the new
     ones are replaced.  Work is per row; nothing is shuffled.
@@ -119,13 +140,13 @@ def clean_lines(
         "n_repeat_words": repeated_words(F.col("__w")).cast("long"),
         "__shouts": _any(text, ("!!", "??")),
         "__marks": _any(text, ("|", "»", "›", "•")),
-        "__phrases": let(F.lower(text), lambda low: _any(low, BOILERPLATE)),
+        "__phrases": let(F.lower(text), lambda low: _any(low, phrases)),
     })
-    symbols, shouts, marks, phrases = F.col("n_symbols") > 0, F.col("__shouts"), F.col("__marks"), F.col("__phrases")
-    d = d.withColumn("__bad", F.filter("__l", lambda x: bad_line(x, symbols, shouts, marks, phrases)))
+    has = F.col("n_symbols") > 0, F.col("__shouts"), F.col("__marks"), F.col("__phrases")
+    d = d.withColumn("__bad", F.filter("__l", lambda x: bad_line(x, *has, phrases)))
     d = d.withColumns({
         "clean_text": F.when(F.size("__bad") == 0, F.array_join("__l", "\n")).otherwise(
-            F.array_join(F.filter("__l", lambda x: ~bad_line(x, symbols, shouts, marks, phrases)), "\n")
+            F.array_join(F.filter("__l", lambda x: ~bad_line(x, *has, phrases)), "\n")
         ),
         "base_failed": (F.col("n_words") < min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * max_repeat_percent),
         "lost_chars": F.length(F.array_join(words_of(F.array_join("__bad", "\n")), "")).cast("long"),
