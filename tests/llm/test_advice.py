@@ -71,7 +71,7 @@ def test_mixing_brings_sources_to_their_targets(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     stage = dict(corpus_pipeline.STAGES)["mixing"]
     for out in (QUERIES["op1_mixing"](spark, sf), stage(spark, docs, sf)):
-        got = out.join(docs.select("doc_id", "source"), "doc_id").groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("rate")).alias("t")).collect()
+        got = out.select("doc_id", "n_tokens", "rate").join(docs.select("doc_id", "source"), "doc_id").groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("rate")).alias("t")).collect()
         mean = sum(r["t"] for r in got) / len(got)
         assert len(got) > 1 and all(abs(r["t"] - mean) < 1e-3 * mean for r in got)
 
@@ -82,3 +82,64 @@ def test_mixing_with_rows_of_unknown_source(spark):
     got = {r["doc_id"]: r for r in mixing.mix(df, df.where("source <> 'new'"), domain_col="source").collect()}
     assert [got[k]["membership"] for k in (1, 2, 3, 5)] == [1.0] * 4 and got[4]["membership"] < 1 and got[6]["membership"] < 1
     assert got[1]["domain"] == "hot" and got[4]["domain"] == "cold"
+
+
+def test_seeds_of_a_large_benchmark_are_joined(spark, monkeypatch):
+    """The join and the broadcast find the same leaks, on the tables and on small alphabets."""
+    r = random.Random(8)
+    words = lambda n, k: " ".join(r.choice("abcdefgh"[:k]) for _ in range(n))
+    rows = [(k, words(r.randrange(12), 6)) for k in range(12)] + [(None, "so it is"), (3, None), (5, "!!")]
+    odd = [(k, words(r.randrange(40), 8)) for k in range(60)] + [(1, None), (None, "and so it is"), (2, ""), (7, "a b c"), (7, "a b c")]
+    small = spark.createDataFrame(odd, "doc_id long, text string").withColumn("key", F.lit("clash")), spark.createDataFrame(rows, "item_id long, text string")
+    full = tuple(spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "benchmark"))
+    for docs, bench in (small, full):
+        for limit in (4_000_000, 10):
+            monkeypatch.setattr(decontaminate, "BROADCAST_CHARS", limit)
+            found = sorted(map(repr, decontaminate.leaks(docs, bench).collect()))
+            left = sorted(map(repr, decontaminate.without_leaks(docs, bench).collect()))
+            if limit > 10:
+                want = found, left
+            assert found and (found, left) == want
+
+
+def test_running_hashes():
+    r = random.Random(2)
+    for _ in range(50):
+        seq = [r.randrange(5) for _ in range(20)]
+        free = [r.random() < 0.8 for _ in seq]
+        size = r.randrange(1, 6)
+        starts = [i for i in range(len(seq) - size + 1) if all(free[i : i + size])]
+        got = list(decontaminate._running(seq, free, size))
+        assert [i for i, _ in got] == starts
+        by = {}
+        for i, h in got:
+            by.setdefault(tuple(seq[i : i + size]), set()).add(h)
+        assert all(len(x) == 1 for x in by.values()) and len(by) == len({h for _, h in got})
+
+
+def test_models_do_not_know_partitions(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    one, two = language_id.fitted(docs), language_id.fitted(docs.repartition(7))
+    assert (one.centroids == two.centroids).all() and (one.least == two.least).all() and (one.idf == two.idf).all()
+    one, two = (mixing.fit(d, "text", "lang", "doc_id") for d in (docs, docs.repartition(7)))
+    assert one.tables == two.tables and one.prior == two.prior
+    mixes = [mixing.mix(d, d, {"en": 1.0, "de": 3.0}, known=False).orderBy("doc_id").collect() for d in (docs, docs.repartition(5))]
+    assert mixes[0] == mixes[1]
+
+
+def test_missed_targets_are_told(spark):
+    docs = spark.createDataFrame([(1, "a b"), (2, "c")], "doc_id long, text string")
+    posterior = F.when(F.col("doc_id") == 1, F.array(F.lit(0.5), F.lit(0.5))).otherwise(F.array(F.lit(0.2), F.lit(0.8)))
+    members = docs.select("doc_id", F.lit(10).cast("long").alias("n_tokens"), posterior.alias("posterior"))
+    out = mixing.fit_rates(members, [1.0, 0.0])
+    assert not out.converged and out.residual > 0.1 and out.steps == mixing.MAX_STEPS
+    assert mixing.fit_rates(members, [0.4, 0.6]).converged
+
+
+def test_secret_samples_read_whole_texts_and_repeats_once(spark):
+    from palimpsest.llm import secret_scan
+
+    rows = [(1, "start and go " * 3000 + " tailword")] + [(2, "same words here")] * 50
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    tokens = [r["token"] for r in secret_scan.labelled_samples(docs, "text", "doc_id").where("label = 0").collect()]
+    assert "tailword" in tokens and tokens.count("same") == 1

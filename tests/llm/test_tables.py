@@ -130,20 +130,28 @@ def test_mixing(spark, sf):
     members = mixing.memberships(docs.select("doc_id", "text"), model)
     p = members.collect()
     assert all(abs(sum(r["posterior"]) - 1) < 1e-9 for r in p)
-    rated, reached = mixing.fit_rates(members.drop("text"), [4.0, 3.0, 2.0, 1.0])
+    fitted = mixing.fit_rates(members.drop("text"), [4.0, 3.0, 2.0, 1.0])
+    rated, reached = fitted.rows, fitted.reached
+    assert fitted.converged
     total = sum(r["n_tokens"] for r in p)
     want = [total * w / 10 for w in (4, 3, 2, 1)]
     assert all(abs(a - b) < 1e-3 * total for a, b in zip(reached, want))
     # The same descent in numpy, over the same memberships.
     n, x = np.array([r["n_tokens"] for r in p], float), np.array([r["posterior"] for r in p])
     rate, start = np.ones(len(p)), n @ x
+    before, speed, last = rate, 1.0, np.inf
     for _ in range(mixing.MAX_STEPS):
         now = (n * rate) @ x
         if max(abs(now - want)) <= mixing.TOLERANCE * max(want):
             break
-        rate = np.maximum(0, rate - x @ ((now - want) / start))
+        off = float(((now - want) ** 2 / start).sum())
+        if off > last:
+            before, speed = rate, 1.0
+        after = (1 + (1 + 4 * speed * speed) ** 0.5) / 2
+        ahead = rate + (speed - 1) / after * (rate - before)
+        rate, before, speed, last = np.maximum(0, ahead - x @ (((n * ahead) @ x - want) / start)), rate, after, off
     have = {r["doc_id"]: r["rate"] for r in rated.collect()}
-    assert all(abs(have[r["doc_id"]] - v) < 1e-6 for r, v in zip(p, rate)) and min(rate) >= 0
+    assert all(abs(have[r["doc_id"]] - v) < 1e-3 for r, v in zip(p, rate)) and min(rate) >= 0
 
 
 def test_mixing_of_odd_tables(spark):
