@@ -9,10 +9,13 @@ up by hash class, which is never less than that of the sets) and then exactly; l
 them into classes.
 
 Documents with equal shingle sets are one representative from the start.  A group that
-shares a band is never paired off: its open members (those not yet in the class of the
+shares a band is not paired off: its open members (those not yet in the class of the
 group's first member) are compared with a few pivots, sixteen times as many in each
 round, until all are linked or have met the whole group.  The first pivots are the members
 that share most bands with most documents: the text that the others are copies of.
+No link within a group is lost to the classes: of two members that are not both in the first
+member's class when the group is through, one was open and has met the other.  From the
+second round on only pairs whose weights allow the similarity meet, by classes of weight.
 """
 
 from __future__ import annotations
@@ -55,7 +58,7 @@ def _tables() -> dict[str, np.ndarray]:
         "r": (-np.log(rng.random(n) * rng.random(n))).astype(np.float32),
         "lnc": np.log(-np.log(rng.random(n) * rng.random(n))).astype(np.float32),
         "beta": rng.random(n).astype(np.float32),
-        "odd": rng.integers(1, 1 << 31, BANDS * ROWS).astype(np.uint32) * np.uint32(2) + np.uint32(1),
+        "odd": rng.integers(1, 1 << 31, (2, BANDS * ROWS)).astype(np.uint32) * np.uint32(2) + np.uint32(1),
     }
 
 
@@ -104,7 +107,11 @@ def weights(h: np.ndarray, n: np.ndarray, idf: np.ndarray) -> np.ndarray:
 
 
 def signature(h: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """ICWS samples as 32-bit codes of (shingle, level)."""
+    """ICWS samples as 32-bit codes of (shingle, level).
+
+    The three random numbers of a shingle and a sample stand at three places of their tables,
+    from two hashes of its own for each sample: shingles that meet in one place part in another.
+    """
     t = _tables()
     k = BANDS * ROWS
     best, code = np.full(k, np.inf, np.float32), np.zeros(k, np.uint32)
@@ -112,11 +119,11 @@ def signature(h: np.ndarray, w: np.ndarray) -> np.ndarray:
     logs = np.log(w).astype(np.float32)
     for at in range(0, len(h), 1024):
         x, lw = h[at : at + 1024], logs[at : at + 1024]
-        slot = (x[None, :] * t["odd"][:, None]) >> np.uint32(16)
-        r = t["r"][slot]
-        level = np.floor(lw[None, :] / r + t["beta"][slot])
+        one, two = ((x[None, :] * odd[:, None]) >> np.uint32(16) for odd in t["odd"])
+        r, beta = t["r"][one], t["beta"][one ^ two]
+        level = np.floor(lw[None, :] / r + beta)
         # ln a = ln c - ln y - r with ln y = r (t - beta)
-        a = t["lnc"][slot] - r * (level - t["beta"][slot]) - r
+        a = t["lnc"][two] - r * (level - beta) - r
         i = np.argmin(a, axis=1)
         low = a[every, i]
         won = low < best
@@ -228,6 +235,11 @@ def _verified(pairs: DataFrame, vectors: DataFrame, idf, least: float) -> DataFr
     return pairs.join(two, "b").join(one, "a").mapInPandas(run, "a long, b long, similarity double")
 
 
+def _weight_class(least: float) -> Column:
+    """Of two sets with a similarity of ``least`` or more the classes are the same or neighbours."""
+    return F.floor(F.log("weight") / F.lit(-np.log(least - 1e-3).item()))
+
+
 def _slots(round_: int) -> int:
     return 16 ** round_
 
@@ -290,6 +302,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
     level = 0
     while True:
         if comp is None:  # the first round: every member of a group against its head
+            on = ["key"]
             state = bucket.where("id <> head").withColumn("own", F.col("id"))
             pivots = bucket.where("id = head").select("key", F.col("id").alias("b"), F.col("weight").alias("weight_b"), F.col("parts").alias("parts_b"), F.col("id").alias("own_b"))
         else:
@@ -307,9 +320,13 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
             # Few enough members: each is a pivot.  Else the first of each of m slots.
             slot = F.when(F.col("size") <= m, F.col("id")).otherwise(F.pmod(F.xxhash64("id"), F.lit(m)))
             pivots = labelled.groupBy("key", slot.alias("slot")).agg(F.min(F.struct("rank", "id", "weight", "parts", "own")).alias("p"))
-            pivots = pivots.select("key", F.col("p.id").alias("b"), F.col("p.weight").alias("weight_b"), F.col("p.parts").alias("parts_b"), F.col("p.own").alias("own_b"))
+            around = F.explode(F.sequence(F.col("wc") - 1, F.col("wc") + 1)).alias("wc")
+            pivots = pivots.select("key", "p.*").withColumn("wc", _weight_class(least)).select(
+                "key", around, F.col("id").alias("b"), F.col("weight").alias("weight_b"), F.col("parts").alias("parts_b"), F.col("own").alias("own_b")
+            )
+            state, on = state.withColumn("wc", _weight_class(least)), ["key", "wc"]
         near = _bound(F.col("weight"), F.col("parts"), F.col("weight_b"), F.col("parts_b")) >= least - 1e-4
-        met = state.join(pivots, "key").where((F.col("own") != F.col("own_b")) & near)
+        met = state.join(pivots, on).where((F.col("own") != F.col("own_b")) & near)
         pairs = met.select(F.greatest("id", "b").alias("a"), F.least("id", "b").alias("b")).distinct()
         found = staged(_verified(pairs, vectors, idf, least), f"links{level}")
         if comp is None or found.limit(1).count():

@@ -117,11 +117,68 @@ def test_near_duplicates(spark):
 
 
 def test_consistent_sampling_estimates_similarity():
+    """Unbiased over many pairs of short and of very long sets, and as spread as independent samples are."""
     r = np.random.default_rng(5)
-    keys = np.unique(r.integers(0, 1 << 32, 900, dtype=np.uint32))
-    a, b = (keys[:700], r.random(700) + 0.5), (keys[100:], r.random(len(keys) - 100) + 0.5)
-    agree = np.mean(near_dup.signature(*a) == near_dup.signature(*b))
-    assert abs(agree - near_dup.weighted_jaccard(a, b)) < 0.25
+    for size, pairs in ((300, 120), (100_000, 4)):
+        off = []
+        for _ in range(pairs):
+            keys = np.unique(r.integers(0, 1 << 32, size, dtype=np.uint32))
+            cut = int(len(keys) * r.uniform(0.05, 0.3))
+            a, b = (keys[:-cut], r.random(len(keys) - cut) + 0.5), (keys[cut:], r.random(len(keys) - cut) + 0.5)
+            off.append(np.mean(near_dup.signature(*a) == near_dup.signature(*b)) - near_dup.weighted_jaccard(a, b))
+        spread = 0.5 / np.sqrt(near_dup.BANDS * near_dup.ROWS)
+        assert abs(np.mean(off)) < 4 * spread / np.sqrt(pairs) and np.sqrt(np.mean(np.square(off))) < 1.6 * spread
+
+
+def similar_pairs(sets, least=0.8):
+    """All pairs of ``sets`` (id: (ascending keys, weights)) of at least that weighted Jaccard similarity.
+
+    Complete: ordered by how rare they are, the keys with more than 1 - ``least`` of a set's
+    weight must hold one that a similar set has among its own such keys.
+    """
+    count = Counter(k for h, _ in sets.values() for k in h.tolist())
+    by, out = {}, set()
+    for i, (h, w) in sets.items():
+        order = sorted(range(len(h)), key=lambda k: (count[int(h[k])], int(h[k])))
+        total, seen, near = float(w.sum()), 0.0, set()
+        for k in order:
+            if seen > (1 - least) * total + 1e-6:
+                break
+            seen += float(w[k])
+            near.update(by.setdefault(int(h[k]), []))
+            by[int(h[k])].append(i)
+        out |= {(j, i) for j in near if near_dup.weighted_jaccard(sets[i], sets[j]) >= least}
+    return out
+
+
+def recall(spark, sf):
+    """(similar pairs of different texts, those in one class, pairs of one class and link that brute force lacks)"""
+    docs = spark.read.parquet(f"/root/testdata/sf{sf}/documents.parquet").select("doc_id", "text")
+    idf = near_dup.idf_table(docs)
+    sets, first = {}, {}
+    for r in docs.orderBy("doc_id").collect():
+        h, n = near_dup.shingles(r["text"])
+        if len(h) and first.setdefault((h.tobytes(), n.tobytes()), r["doc_id"]) == r["doc_id"]:
+            sets[r["doc_id"]] = (h, near_dup.weights(h, n, idf))
+    pairs = similar_pairs(sets)
+    got = {r["doc_id"]: r["class_id"] for r in near_dup.classes(docs).collect()}
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        root[max(find(a), find(b))] = min(find(a), find(b))
+    wrong = sum(find(got[i]) != find(i) for i in sets)
+    return len(pairs), sum(got[a] == got[b] for a, b in pairs), wrong
+
+
+def test_recall_on_whole_tables(spark):
+    pairs, found, wrong = recall(spark, "0.01")
+    assert pairs >= 5 and found >= 0.9 * pairs and wrong == 0
 
 
 def test_mixing(spark, sf):
