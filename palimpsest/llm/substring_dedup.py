@@ -143,7 +143,9 @@ def repeated_ranges(docs: DataFrame, text_col: str = "text", length: int = LENGT
         return any(k[0] == fp for k in left) if len(left) < 8 else True
 
     wanted = needed.groupBy("key").agg(F.collect_list(F.struct("fp", "rd", "n", "hot")).alias("want"))
-    found = long_texts.join(wanted, "key").dropDuplicates(["key"]).select("text", "want")
+    # One copy of each text, found before anything is moved: a task sends a text once, however many copies it has.
+    once = long_texts.groupBy("key").agg(F.first("text").alias("text"))
+    found = once.join(wanted, "key").select("text", "want")
     cut = staged(found.mapInPandas(cut_out, "fp long, rd long, alone boolean, hot boolean, data binary"), "cut")
 
     shards = max(1, -(-(needed.where(~F.col("hot")).agg(F.sum("size")).first()[0] or 0) // SHARD_BYTES))
