@@ -69,7 +69,7 @@ def blame(versions: DataFrame) -> DataFrame:
     last = versions.groupBy("path").agg(F.max("version").alias("version"))
     tip = every.join(last, ["path", "version"])
     reach = tip.select(F.col("hash").alias("start"), "hash", F.lit(0).cast("long").alias("depth"))
-    origin = _doubled(reach, staged(links, "links"), ["start"]).groupBy("start").agg(F.max("depth").alias("depth"))
+    origin = _doubled(reach, links, ["start"]).groupBy("start").agg(F.max("depth").alias("depth"))
     found = tip.join(origin, tip["hash"] == origin["start"])
     return found.select("path", F.col("new_no").alias("line_no"), "line", (F.col("version") - F.col("depth").cast("int")).alias("version"))
 

@@ -32,6 +32,36 @@ def test_diff_and_merge(a, b, c):
     assert hunks(b, c) == hunks(c, b)
 
 
+def _longest(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b):
+            new.append(row[j] + 1 if x == y else max(row[j + 1], new[-1]))
+        row = new
+    return row[-1]
+
+
+@settings(max_examples=300, deadline=None)
+@given(TEXT, TEXT)
+def test_diffs_are_shortest(a, b):
+    equal = [o for o in myers.diff(a, b) if o[0] == "equal"]
+    assert sum(o[2] - o[1] for o in equal) == _longest(a, b)
+    assert all(a[o[1] : o[2]] == b[o[3] : o[4]] for o in equal)
+
+
+def test_memory_of_a_diff():
+    """Lines that occur on both sides in another order: quadratic work, linear memory."""
+    import tracemalloc
+
+    a, b = [f"{k % 50}" for k in range(1500)], [f"{k * 7 % 53}" for k in range(1500)]
+    tracemalloc.start()
+    assert myers.patch(a, myers.diff(a, b), b) == b
+    assert tracemalloc.get_traced_memory()[1] < 4_000_000
+    tracemalloc.stop()
+    assert myers.diff([f"a{k}" for k in range(20_000)], [f"b{k}" for k in range(20_000)]) == [("replace", 0, 20_000, 0, 20_000)]
+
+
 def test_merge_cases():
     both = myers.merge_texts(["def f", "return"], ["def f", "x = 1", "return"], ["def f", "y = 2", "return"])
     assert flat(both, "ours") == ["def f", "x = 1", "return"] and flat(both, "both_ours") == ["def f", "x = 1", "y = 2", "return"]
