@@ -55,6 +55,21 @@ def digest(content: Column) -> Column:
     return F.sha2(content, 256)
 
 
+def short_id(hash_: Column) -> Column:
+    """The first 8 characters of an id."""
+    return F.substring(hash_, 1, 8)
+
+
+def short_date(at: Column) -> Column:
+    """Day, hour and minute."""
+    return F.date_format(at, "yyyy-MM-dd HH:mm")
+
+
+def kilobytes(n_bytes: Column) -> Column:
+    """Bytes as kilobytes of 1,024, with one decimal."""
+    return F.concat(F.format_string("%.1f", n_bytes / 1024.0), F.lit(" KB"))
+
+
 def ignore_pattern(globs: list[str]) -> str:
     """One regular expression for ignore globs in the style of ignore files (no negation).
 

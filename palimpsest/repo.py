@@ -1,9 +1,11 @@
 """A repository of versioned files on any store that Spark can write.
 
-Manifests and objects are only ever appended, under the snapshot's id; the small tables are
-rewritten; a commit is the state record that names them, written last.  A reader trusts the
-newest complete record, so a crash leaves the repository as it was.  The working tree is an
-argument: a DataFrame (path, content).
+Manifests and objects are only ever appended, in partitions named by the commit's number; the
+small tables are rewritten; a commit is the state record that names them, written last.  A
+reader trusts the newest complete record and reads partitions up to its number, and a writer
+clears what a crashed one has left under the next number: a crash leaves the repository as
+it was.  One writer works at a time.  The working tree is an argument: a DataFrame (path,
+content), as :func:`palimpsest.sources.tree.read_tree` gives it.
 """
 
 from __future__ import annotations
@@ -15,11 +17,12 @@ from datetime import UTC, datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.text import digest, normal_path, stored_text, under_any
-from .model import DECISIONS, DELETED_PREFIX, KEYS, SCHEMAS, STASH_BRANCH, AlreadyInitialized, CorruptRepo, InvalidInput, NotARepo, snapshot_id
+from .functions.text import digest, is_binary, normal_path, short_date, short_id, stored_text, under_any
+from .model import DECISIONS, DELETED_PREFIX, KEYS, SCHEMAS, STASH_BRANCH, AlreadyInitialized, CorruptRepo, InvalidInput, NestedRepo, NotARepo, snapshot_id
 from .operators import ancestry, changes, refs, retention, search, textdiff, threeway
 
 MAIN = "main"
+APPENDED = ("file_map", "objects")
 
 
 @dataclass
@@ -49,35 +52,58 @@ class Repo:
         self.spark, self.path, self.version, self.state = spark, path.rstrip("/"), -1, State()
         if self._listed("state"):
             raise AlreadyInitialized(path)
+        at = self._jpath().getParent()
+        while at is not None:
+            if self._fs().exists(self._jpath(f"{at}/tables/file_map")) and self._fs().exists(self._jpath(f"{at}/state")):
+                raise NestedRepo(f"{path} lies in {at}")
+            at = at.getParent()
         self._commit({name: spark.createDataFrame([], schema) for name, schema in SCHEMAS.items()})
         return self
 
+    def _jpath(self, at: str | None = None):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(at or self.path)
+
+    def _fs(self):
+        return self._jpath().getFileSystem(self.spark._jsc.hadoopConfiguration())
+
     def _listed(self, folder: str) -> list[int]:
-        jvm = self.spark._jvm
-        at = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{folder}")
-        fs = at.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        fs, at = self._fs(), self._jpath(f"{self.path}/{folder}")
         if not fs.exists(at):
             return []
-        done = [s.getPath() for s in fs.listStatus(at) if fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
+        done = [s.getPath() for s in fs.listStatus(at) if fs.exists(self._jpath(f"{s.getPath()}/_SUCCESS"))]
         return [int(p.getName()) for p in done]
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.schema(SCHEMAS[name]).option("recursiveFileLookup", "true").parquet(f"{self.path}/tables/{name}/{self.state.tables[name]}")
+        at = f"{self.path}/tables/{name}/{self.state.tables[name]}"
+        if name not in APPENDED:
+            return self.spark.read.schema(SCHEMAS[name]).parquet(at)
+        return self.spark.read.schema(f"{SCHEMAS[name]}, commit bigint").parquet(at).where(F.col("commit") <= self.version).drop("commit")
 
-    def _commit(self, changed: dict[str, DataFrame], **state) -> None:
-        """Writes rewritten tables, then the record that makes them and any appended rows count."""
+    def _columns(self, name: str) -> list[str]:
+        return self.spark.createDataFrame([], SCHEMAS[name]).columns
+
+    def _commit(self, changed: dict[str, DataFrame], appended: tuple[str, ...] = (), **state) -> None:
+        """Writes rewritten tables, then the record that makes them and the rows of ``appended`` tables count."""
         tables, n = dict(self.state.tables), self.version + 1
+        if n in self._listed("state"):
+            raise InvalidInput("another writer has committed: open the repository again")
         for name, df in changed.items():
             at = f"{n:08d}"
-            df.select(*self.spark.createDataFrame([], SCHEMAS[name]).columns).write.option("compression", "zstd").parquet(f"{self.path}/tables/{name}/{at}")
+            part = f"/commit={n}" if name in APPENDED else ""
+            df.select(*self._columns(name)).write.mode("overwrite").option("compression", "zstd").parquet(f"{self.path}/tables/{name}/{at}{part}")
             tables[name] = at
+        for name in APPENDED:
+            if name not in changed and name not in appended:  # left by a writer that crashed
+                self._fs().delete(self._jpath(f"{self.path}/tables/{name}/{tables[name]}/commit={n}"), True)
         new = State(**{**vars(self.state), **state, "tables": tables})
-        self.spark.createDataFrame([(json.dumps(vars(new)),)], "value string").coalesce(1).write.text(f"{self.path}/state/{n:08d}")
+        record = self.spark.createDataFrame([(json.dumps(vars(new)),)], "value string").coalesce(1)
+        record.write.mode("overwrite").text(f"{self.path}/state/{n:08d}")
         self.state, self.version = new, n
 
-    def _append(self, name: str, df: DataFrame, tag: str) -> None:
-        columns = self.spark.createDataFrame([], SCHEMAS[name]).columns
-        df.select(*columns).write.mode("append").option("compression", "zstd").parquet(f"{self.path}/tables/{name}/{self.state.tables[name]}/{tag}")
+    def _append(self, name: str, df: DataFrame) -> None:
+        """Rows that count from the next commit on, once for each; they replace what a crashed writer left."""
+        at = f"{self.path}/tables/{name}/{self.state.tables[name]}/commit={self.version + 1}"
+        df.select(*self._columns(name)).write.mode("overwrite").option("compression", "zstd").parquet(at)
 
     # References -----------------------------------------------------------------------------------
 
@@ -133,8 +159,12 @@ class Repo:
             raise InvalidInput(f"unknown tag: {name}")
         self._commit({"tags": tags.where(F.col("name") != name)})
 
-    def switch(self, branch: str) -> str:
-        """The tip of ``branch``; an unknown name starts a branch at the present position."""
+    def switch(self, branch: str, working: DataFrame | None = None) -> str:
+        """The tip of ``branch``; an unknown name starts a branch at the present position.
+
+        A ``working`` tree that is passed in, here and below, must have no changes.
+        """
+        self._clean(working)
         if branch.startswith(DELETED_PREFIX):
             raise InvalidInput("deleted branches cannot be switched to")
         self._idle()
@@ -177,13 +207,13 @@ class Repo:
         row = self.spark.createDataFrame([("", message, branch, parent, merge_parent, now, seq)], SCHEMAS["snapshots"])
         row = row.withColumn("hash", snapshot_id(F.col("message"), F.col("branch"), F.col("parent_hash"), F.col("created_at"), F.col("seq")))
         h = row.first()["hash"]
-        self._append("file_map", manifest.select(F.lit(h).alias("snapshot_hash"), "path", "hash"), h)
+        self._append("file_map", manifest.select(F.lit(h).alias("snapshot_hash"), "path", "hash"))
         self.state.seq = seq
         self._last = h
         return row
 
     def _put(self, objects: DataFrame) -> None:
-        self._append("objects", changes.new_objects(objects.select("hash", "content"), self.table("objects")), f"put-{self.version}-{self.state.seq}")
+        self._append("objects", changes.new_objects(objects.select("hash", "content"), self.table("objects")))
 
     def save(self, working: DataFrame, message: str, paths: list[str] | None = None, amend: bool = False, now: datetime | None = None) -> dict | None:
         """Records the changes under ``paths``; None if there are none.
@@ -211,7 +241,7 @@ class Repo:
             moved = F.when(F.col("parent_hash") == tip, F.lit(self._last)).otherwise(F.col("parent_hash"))
             changed["snapshots"] = rest.withColumn("parent_hash", moved).unionByName(row)
             changed["tags"] = refs.redirect_tags(tags, self.spark.createDataFrame([(tip, self._last)], "old string, new string"))
-        self._commit(changed, parent=self._last)
+        self._commit(changed, APPENDED, parent=self._last)
         dirty.unpersist()
         return {"hash": self._last, "new": counts.get("New", 0), "modified": counts.get("Modified", 0), "deleted": counts.get("Deleted", 0)}
 
@@ -243,7 +273,9 @@ class Repo:
 
     # Undo and redo ------------------------------------------------------------------------------------
 
-    def undo(self, now: datetime | None = None) -> str:
+    def undo(self, now: datetime | None = None, working: DataFrame | None = None) -> str:
+        self._idle()
+        self._clean(working)
         tip = self._tip(self.state.branch)
         if not tip:
             raise InvalidInput("nothing to undo")
@@ -258,8 +290,9 @@ class Repo:
         self._commit({"snapshots": left, "tags": tags, "trash": trash}, parent=parent, seq=max(top, self.state.seq) + 1)
         return parent
 
-    def redo(self) -> str:
+    def redo(self, working: DataFrame | None = None) -> str:
         self._idle()
+        self._clean(working)
         top = retention.redo_top(self.table("trash").where(F.col("branch") == self.state.branch)).first()
         if top is None:
             raise InvalidInput("nothing to redo")
@@ -289,6 +322,16 @@ class Repo:
         both = changes.compare(self.manifest(parent), self.manifest(h)).where("status <> 'Same'").where(under_any(F.col("path"), paths or []))
         return self._diff(both, self.table("objects"), 3)
 
+    def describe(self, ref: str) -> DataFrame:
+        """One row on a snapshot: what ``show`` has above the lines, with short id and date, and counts of changed files."""
+        h = self.resolve_ref(ref)
+        row = refs.history(self.table("snapshots").where(F.col("hash") == h), self.table("tags"), limit=None)
+        parent = self.table("snapshots").where(F.col("hash") == h).select("hash", "merge_parent")
+        both = changes.compare(self.manifest(row.first()["parent_hash"]), self.manifest(h))
+        count = lambda s: F.count_if(F.col("status") == s).alias(s.lower())
+        counts = both.agg(count(changes.NEW), count(changes.MODIFIED), count(changes.DELETED))
+        return row.join(parent, "hash").crossJoin(F.broadcast(counts)).select("*", short_id(F.col("hash")).alias("short"), short_date(F.col("created_at")).alias("date"))
+
     def _diff(self, pairs: DataFrame, objects: DataFrame, context: int) -> DataFrame:
         o = objects.dropDuplicates(["hash"]).select("hash", F.make_valid_utf8(F.col("content").cast("string")).alias("t"))
         a, b = o.select(F.col("hash").alias("old_hash"), F.col("t").alias("old")), o.select(F.col("hash").alias("new_hash"), F.col("t").alias("new"))
@@ -329,14 +372,15 @@ class Repo:
             out = {"hash": "", "conflicts": counts["conflict"]}
         else:
             row = self._snapshot(threeway.merged_manifest(plan), message, self.state.branch, self.state.parent, merge_parent, now)
-            self._commit({"snapshots": self.table("snapshots").unionByName(row)}, parent=self._last, pending={})
+            self._commit({"snapshots": self.table("snapshots").unionByName(row)}, ("file_map",), parent=self._last, pending={})
             out = {"hash": self._last, "conflicts": 0}
         plan.unpersist()
         return {**out, **{k: counts.get(k, 0) for k in ("add", "update", "delete")}}
 
-    def merge(self, branch: str, now: datetime | None = None) -> dict:
+    def merge(self, branch: str, now: datetime | None = None, working: DataFrame | None = None) -> dict:
         """Fast forward, or a three-way merge with the nearest common ancestor; both record the merged parent."""
         self._idle()
+        self._clean(working)
         if branch == self.state.branch:
             raise InvalidInput("cannot merge a branch into itself")
         theirs, ours = self._tip(branch), self.state.parent
@@ -349,16 +393,18 @@ class Repo:
         plan = self._three(base, ours, theirs, "merge")
         return self._apply(plan, f"merge {branch}", theirs, {"kind": "merge", "base": base, "theirs": theirs}, now)
 
-    def cherry_pick(self, ref: str, now: datetime | None = None) -> dict:
+    def cherry_pick(self, ref: str, now: datetime | None = None, working: DataFrame | None = None) -> dict:
         self._idle()
+        self._clean(working)
         h = self.resolve_ref(ref)
         picked = self.table("snapshots").where(F.col("hash") == h).first()
         plan = self._three(picked["parent_hash"], self.state.parent, h, "cherry_pick")
         return self._apply(plan, picked["message"], "", {"kind": "cherry_pick", "base": picked["parent_hash"], "theirs": h}, now)
 
-    def rebase(self, onto: str, now: datetime | None = None) -> dict:
+    def rebase(self, onto: str, now: datetime | None = None, working: DataFrame | None = None) -> dict:
         """Replays the snapshots that ``onto`` lacks, oldest first; stops at the first conflict."""
         self._idle()
+        self._clean(working)
         target = self.resolve_ref(onto)
         pair = self.spark.createDataFrame([(self.state.parent, target)], "head string, onto string")
         queue = [r["hash"] for r in ancestry.commits_not_in(pair, self.table("snapshots")).orderBy(F.desc("depth")).collect()]
@@ -389,11 +435,26 @@ class Repo:
         return self.table("conflict_files").orderBy("path")
 
     def _conflict_texts(self) -> DataFrame:
-        o = self.table("objects").select("hash", F.make_valid_utf8(F.col("content").cast("string")).alias("t"))
-        c = self.table("conflict_files")
+        """(path, base, ours, theirs) of the files in conflict whose sides are all text."""
+        return self._conflict_sides().where("is_text").select("path", *[F.coalesce(x, F.lit("")).alias(x) for x in ("base", "ours", "theirs")])
+
+    def _conflict_sides(self) -> DataFrame:
+        text = F.col("content").cast("string")
+        o = self.table("objects").select("hash", text.alias("t"), (F.is_valid_utf8(text) & ~is_binary(text)).alias("ok"))
+        c = self.table("conflict_files").withColumn("is_text", F.lit(True))
         for side, name in (("ancestor_hash", "base"), ("our_hash", "ours"), ("their_hash", "theirs")):
-            c = c.join(o.select(F.col("hash").alias(side), F.col("t").alias(name)), side, "left")
-        return c.select("path", *[F.coalesce(x, F.lit("")).alias(x) for x in ("base", "ours", "theirs")])
+            c = c.join(o.select(F.col("hash").alias(side), F.col("t").alias(name), F.col("ok").alias("__ok")), side, "left")
+            c = c.withColumn("is_text", F.col("is_text") & F.coalesce("__ok", F.lit(True))).drop("__ok")
+        return c
+
+    def _taken_whole(self, take: str) -> DataFrame:
+        """(path, hash) of the files that are no texts: one side as it is, by its digest; '' if that side has none."""
+        first = self.table("hunk_decisions").groupBy(F.col("file_path").alias("path")).agg(F.min(F.struct("hunk_id", "decision")).alias("d"))
+        rows = self._conflict_sides().where("not is_text").join(first, "path", "left").withColumn("take", F.coalesce("d.decision", F.lit(take)))
+        mixed = rows.where(~F.col("take").isin("ours", "theirs")).first()
+        if mixed:
+            raise InvalidInput(f"not a text, take one side: {mixed['path']}")
+        return rows.select("path", F.when(F.col("take") == "ours", F.col("our_hash")).otherwise(F.col("their_hash")).alias("hash"))
 
     def conflict_hunks(self) -> DataFrame:
         return textdiff.conflict_hunks(self._conflict_texts())
@@ -411,18 +472,21 @@ class Repo:
             raise InvalidInput("nothing waits for decisions")
         if take not in DECISIONS:
             raise InvalidInput(f"unknown decision: {take}")
+        whole = self._taken_whole(take)
         merged = textdiff.resolve(self._conflict_texts(), self.table("hunk_decisions"), take)
         files = merged.select("path", F.col("text").cast("binary").alias("content")).select("path", digest(F.col("content")).alias("hash"), "content")
         # A side that has no file, taken whole, takes the file away.
         side = {"ours": "our_hash", "theirs": "their_hash"}.get(take)
-        gone = self.table("conflict_files").where(F.col(side) == "").select("path") if side else files.limit(0).select("path")
+        texts = self._conflict_sides().where("is_text")
+        gone = texts.where(F.col(side) == "").select("path") if side else files.limit(0).select("path")
         files = files.join(gone, "path", "left_anti")
         self._put(files)
         plan = self._three(p["base"], self.state.parent, p["theirs"], p["kind"])
-        manifest = changes.overlaid(threeway.merged_manifest(plan), files.select("path", "hash"), gone)
+        writes = files.select("path", "hash").unionByName(whole.where("hash <> ''"))
+        manifest = changes.overlaid(threeway.merged_manifest(plan), writes, gone.unionByName(whole.where("hash = ''").select("path")))
         row = self._snapshot(manifest, p["message"], self.state.branch, self.state.parent, p["merge_parent"], now)
         empty = {"conflict_files": self.table("conflict_files").limit(0), "hunk_decisions": self.table("hunk_decisions").limit(0)}
-        self._commit({"snapshots": self.table("snapshots").unionByName(row), **empty}, parent=self._last, pending={})
+        self._commit({"snapshots": self.table("snapshots").unionByName(row), **empty}, APPENDED, parent=self._last, pending={})
         if p.get("queue") is not None and p["kind"] == "rebase":
             return self._replay(p["queue"], {k: p[k] for k in ("kind", "start", "old")}, now)
         return {"hash": self._last, "conflicts": 0}
@@ -450,7 +514,7 @@ class Repo:
         moves = self.spark.createDataFrame([(h, self._last) for h in chain], "old string, new string")
         rest = snapshots.where(~F.col("hash").isin(chain))
         moved = F.when(F.col("parent_hash").isin(chain), F.lit(self._last)).otherwise(F.col("parent_hash"))
-        self._commit({"snapshots": rest.withColumn("parent_hash", moved).unionByName(row), "tags": refs.redirect_tags(self.table("tags"), moves)}, parent=self._last)
+        self._commit({"snapshots": rest.withColumn("parent_hash", moved).unionByName(row), "tags": refs.redirect_tags(self.table("tags"), moves)}, ("file_map",), parent=self._last)
         return self._last
 
     # Shelves ------------------------------------------------------------------------------------------
@@ -468,7 +532,7 @@ class Repo:
         self._put(files)
         row = self._snapshot(files.select("path", "hash"), name, STASH_BRANCH, self.state.parent, now=now)
         shelf = self.spark.createDataFrame([(self.state.seq, name, self._last, self.state.branch, self.state.parent, at)], SCHEMAS["stash"])
-        self._commit({"snapshots": self.table("snapshots").unionByName(row), "stash": shelves.unionByName(shelf)})
+        self._commit({"snapshots": self.table("snapshots").unionByName(row), "stash": shelves.unionByName(shelf)}, APPENDED)
         return name
 
     def stashes(self) -> DataFrame:
@@ -517,4 +581,12 @@ class Repo:
             "index_cache": cache.join(retention.stale_cache(cache, live, snapshots).select("path"), "path", "left_anti"),
             "hunk_decisions": decisions.join(self.table("conflict_files").select(F.col("path").alias("file_path")), "file_path", "left_semi"),
         })
-        return {"removed": loose["n"], "freed": loose["b"]}
+        return {"removed": loose["n"], "freed": loose["b"], "folders": self._sweep()}
+
+    def _sweep(self) -> int:
+        """Deletes the folders of tables and the records that the newest record does not name; readers of older ones end."""
+        fs, gone = self._fs(), []
+        for name, at in self.state.tables.items():
+            gone += [s.getPath() for s in fs.listStatus(self._jpath(f"{self.path}/tables/{name}")) if s.getPath().getName() != at]
+        gone += [s.getPath() for s in fs.listStatus(self._jpath(f"{self.path}/state")) if s.getPath().getName() != f"{self.version:08d}"]
+        return sum(bool(fs.delete(p, True)) for p in gone)
