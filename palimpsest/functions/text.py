@@ -66,8 +66,9 @@ def short_date(at: Column) -> Column:
 
 
 def kilobytes(n_bytes: Column) -> Column:
-    """Bytes as kilobytes of 1,024, with one decimal."""
-    return F.concat(F.format_string("%.1f", n_bytes / 1024.0), F.lit(" KB"))
+    """Bytes as kilobytes of 1,024, with one decimal, halves up."""
+    tenths = F.floor((n_bytes * 10 + 512) / 1024)
+    return F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"), F.lit(" KB"))
 
 
 def ignore_pattern(globs: list[str]) -> str:

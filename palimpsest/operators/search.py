@@ -50,6 +50,14 @@ def grep_context(lines: DataFrame, pattern: str, context: int = 2, ignore_case:
 
 
 def match_spans(lines: DataFrame, pattern: str, ignore_case: bool = False) -> DataFrame:
-    """The matched strings of every line, in order."""
-    found = F.regexp_extract_all("line", F.lit(checked(pattern, ignore_case)), F.lit(0))
-    return lines.withColumn("matches", found).where(F.size("matches") > 0)
+    """(path, line_no, nth, start, end, text): every match of every line, in code points from 0, end exclusive.
+
+    Lengths of the matches and of what lies between them, added up along the line.
+    """
+    p = F.lit(checked(pattern, ignore_case))
+    found = lines.where(F.col("line").rlike(checked(pattern, ignore_case))).select("path", "line_no", F.regexp_extract_all("line", p, F.lit(0)).alias("m"), F.split("line", checked(pattern, ignore_case), -1).alias("gap"))
+    each = found.select("path", "line_no", F.posexplode(F.arrays_zip("gap", "m")).alias("nth", "x"))
+    gone = F.length("x.gap") + F.coalesce(F.length("x.m"), F.lit(0))
+    end = F.sum(gone).over(W.partitionBy("path", "line_no").orderBy("nth"))
+    spans = each.withColumn("end", end).where("x.m is not null")
+    return spans.select("path", "line_no", "nth", (F.col("end") - F.length("x.m")).alias("start"), "end", F.col("x.m").alias("text"))

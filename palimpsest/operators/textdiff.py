@@ -7,6 +7,7 @@ and follows the links by doubling, with no fold over a path's versions in one ta
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import pandas as pd
@@ -51,11 +52,16 @@ def line_diff(pairs: DataFrame, context: int | None = 3) -> DataFrame:
 
 
 def hunks(pairs: DataFrame, context: int = 3) -> DataFrame:
-    """One row for each hunk: (path, version, hunk, deleted, inserted, start)."""
+    """One row for each hunk: (path, version, hunk, deleted, inserted, start, header).
+
+    ``header`` names the hunk's first line and number of lines on either side, in the unified form.
+    """
     d = line_diff(pairs, context)
-    start = F.min(F.coalesce("old_no", "new_no"))
     gone, come = F.count_if(F.col("tag") == "delete"), F.count_if(F.col("tag") == "insert")
-    return d.groupBy("path", "version", "hunk").agg(gone.alias("deleted"), come.alias("inserted"), start.alias("start"))
+    side = lambda c: F.concat_ws(",", F.coalesce(F.min(c), F.lit(0)).cast("string"), F.count(c).cast("string"))
+    header = F.concat(F.lit("@@ -"), side("old_no"), F.lit(" +"), side("new_no"), F.lit(" @@"))
+    start = F.min(F.coalesce("old_no", "new_no"))
+    return d.groupBy("path", "version", "hunk").agg(gone.alias("deleted"), come.alias("inserted"), start.alias("start"), header.alias("header"))
 
 
 def blame(versions: DataFrame) -> DataFrame:
@@ -136,34 +142,46 @@ def resolve(triples: DataFrame, decisions: DataFrame | None = None, take: str =
 def graph_lanes(listing: DataFrame) -> DataFrame:
     """(position, hash, lane, lanes) of a listing (position, hash, parent_hash, merge_parent), newest first.
 
-    A lane waits for one snapshot; a fold over the listing, which history limits to a page,
-    in one task that keeps the open lanes alone.
+    A lane waits for one snapshot, and a snapshot or parent without a lane takes the first free
+    one.  Lanes follow the order of the whole listing, so it passes one task as a stream, which
+    keeps the open lanes alone.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        open_: list[str | None] = []
+        lane_of: dict[str, int] = {}
+        waiting: list[str | None] = []
+        free: list[int] = []
+
+        def take(name: str) -> None:
+            while free and (free[0] >= len(waiting) or waiting[free[0]] is not None):
+                heapq.heappop(free)
+            if free:
+                lane = heapq.heappop(free)
+                waiting[lane] = name
+            else:
+                lane = len(waiting)
+                waiting.append(name)
+            lane_of[name] = lane
+
         for b in batches:
             out = []
             for pos, h, p, m in zip(b["position"], b["hash"], b["parent_hash"], b["merge_parent"]):
-                if h not in open_:
-                    if None in open_:
-                        open_[open_.index(None)] = h
-                    else:
-                        open_.append(h)
-                lane = open_.index(h)
-                width = len(open_)
-                open_ = [None if x == h else x for x in open_]
+                if h not in lane_of:
+                    take(h)
+                lane, width = lane_of.pop(h), len(waiting)
+                waiting[lane] = None
                 for parent in (p, m):
-                    if parent and parent not in open_:
-                        if open_[lane] is None:
-                            open_[lane] = parent
-                        elif None in open_:
-                            open_[open_.index(None)] = parent
+                    if parent and parent not in lane_of:
+                        if waiting[lane] is None:
+                            waiting[lane], lane_of[parent] = parent, lane
                         else:
-                            open_.append(parent)
-                while open_ and open_[-1] is None:
-                    open_.pop()
-                out.append((pos, h, lane, max(width, len(open_))))
+                            take(parent)
+                if waiting[lane] is None:
+                    heapq.heappush(free, lane)
+                most = max(width, len(waiting))
+                while waiting and waiting[-1] is None:
+                    waiting.pop()
+                out.append((pos, h, lane, most))
             yield pd.DataFrame(out, columns=["position", "hash", "lane", "lanes"])
 
     ordered = listing.select("position", "hash", "parent_hash", "merge_parent").repartitionByRange(1, "position").sortWithinPartitions("position")

@@ -11,6 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text
+from ..model import snapshot_id
 from ..operators import ancestry, changes, intervals, refs, retention, search, textdiff, threeway
 from ..sources.fixtures import NOW, Fixtures
 
@@ -504,5 +506,64 @@ def _(f):
 
 @query("history_graph")
 def _(f):
-    page = refs.numbered(refs.history(f.snapshots, f.tags.limit(0), limit=500))
-    return textdiff.graph_lanes(page.withColumn("merge_parent", F.lit("")))
+    rows = refs.numbered(refs.history(f.snapshots, f.tags.limit(0), limit=None))
+    return textdiff.graph_lanes(rows.withColumn("merge_parent", F.lit("")))
+
+
+# Scalars ------------------------------------------------------------------------------------------
+
+_MARKED = "select doc_id, case when doc_id % 3 = 0 then chr(65279) else '' end || replace(text, chr(10), case when doc_id % 2 = 0 then chr(13) || chr(10) else chr(13) end) t from documents"
+
+
+def _marked(f: Fixtures) -> DataFrame:
+    """Texts with other line ends, and a byte order mark before every third."""
+    end = F.when(F.col("doc_id") % 2 == 0, "\r\n").otherwise("\r")
+    mark = F.when(F.col("doc_id") % 3 == 0, "\ufeff").otherwise("")
+    return f.table("documents").select("doc_id", F.concat(mark, F.replace("text", F.lit("\n"), end)).alias("t"))
+
+
+@query(
+    "text_forms", "",
+    f"select doc_id, md5(replace(t, chr(13), '')) stored, md5(replace(replace(ltrim(t, chr(65279)), chr(13) || chr(10), chr(10)), chr(13), chr(10))) compared, "
+    f"md5(replace(ltrim(t, chr(65279)), chr(13) || chr(10), chr(10))) shown, sha256(t) digest from ({_MARKED})",
+)
+def _(f):
+    t = F.col("t")
+    return _marked(f).select("doc_id", F.md5(text.stored_text(t)).alias("stored"), F.md5(text.diff_text(t)).alias("compared"), F.md5(text.show_text(t)).alias("shown"), text.digest(t).alias("digest"))
+
+
+@query(
+    "line_lists", "",
+    "select doc_id, len(case when ends_with(text, chr(10)) then list_slice(string_split(text, chr(10)), 1, -2) when text = '' then [] else string_split(text, chr(10)) end)::int n, "
+    "md5(case when text = '' then '' else rtrim_one end) joined from (select *, case when ends_with(text, chr(10)) then text else text || chr(10) end rtrim_one from documents)",
+)
+def _(f):
+    at = text.lines(F.col("text"))
+    return f.table("documents").select("doc_id", F.size(at).alias("n"), F.md5(text.joined(at, F.size(at) > 0)).alias("joined"))
+
+
+@query("binary_guard", "", "select doc_id, instr(substr(t, 1, 1024), chr(0)) > 0 is_binary from (select doc_id, case when doc_id % 4 = 0 then substr(text, 1, (doc_id % 2000)::int) || chr(0) || text else text end t from documents)")
+def _(f):
+    odd = F.concat(F.expr("substr(text, 1, cast(doc_id % 2000 as int))"), F.lit("\x00"), F.col("text"))
+    return f.table("documents").select("doc_id", text.is_binary(F.when(F.col("doc_id") % 4 == 0, odd).otherwise(F.col("text"))).alias("is_binary"))
+
+
+@query(
+    "snapshot_ids", "snapshots",
+    "select hash, substr(sha256(message || chr(0) || branch || chr(0) || parent_hash || chr(0) || strftime(created_at, '%Y-%m-%d %H:%M:%S') || chr(0) || seq::varchar), 1, 12) id, "
+    "substr(message, 1, 8) short, strftime(created_at, '%Y-%m-%d %H:%M') date, ((seq * 10 + 512) // 1024 // 10)::varchar || '.' || ((seq * 10 + 512) // 1024 % 10)::varchar || ' KB' kb from snapshots",
+)
+def _(f):
+    own = snapshot_id(F.col("message"), F.col("branch"), F.col("parent_hash"), F.col("created_at"), F.col("seq"))
+    short = text.short_id(F.col("message")).alias("short"), text.short_date(F.col("created_at")).alias("date"), text.kilobytes(F.col("seq")).alias("kb")
+    return f.snapshots.select("hash", own.alias("id"), *short)
+
+
+@query(
+    "match_spans", "lines",
+    "select path, line_no, (i - 1)::int nth, (sum(length(part)) over w + 2 * (i - 1))::bigint start, (sum(length(part)) over w + 2 * i)::bigint end_, 'th' as text "
+    "from (select path, line_no, parts, unnest(parts) part, unnest(range(1, len(parts) + 1)) i from (select path, line_no, string_split(line, 'th') parts from lines where contains(line, 'th'))) "
+    "window w as (partition by path, line_no order by i) qualify i < len(parts)",
+)
+def _(f):
+    return search.match_spans(f.lines, "th").withColumnRenamed("end", "end_")

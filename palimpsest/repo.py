@@ -184,8 +184,13 @@ class Repo:
         """(path, hash, content) in storage form: text without carriage returns, binary as it is."""
         text = F.col("content").cast("string")
         clean = F.when(F.is_valid_utf8(text), stored_text(text).cast("binary")).otherwise(F.col("content").cast("binary"))
-        w = working.select(normal_path(F.col("path")).alias("path"), clean.alias("content"))
-        return w.select("path", digest(F.col("content")).alias("hash"), "content")
+        w = working.withColumns({"path": normal_path(F.col("path")), "content": clean})
+        own = digest(F.col("content"))
+        if {"mtime_ns", "size"} <= set(working.columns):  # a file that the cache knows is not hashed again
+            known = self.table("index_cache").withColumnRenamed("hash", "__known")
+            w = w.join(known, ["path", "mtime_ns", "size"], "left")
+            own = F.coalesce("__known", own)
+        return w.select("path", own.alias("hash"), "content")
 
     def status(self, working: DataFrame, ref: str | None = None, paths: list[str] | None = None) -> DataFrame:
         base = self.manifest(self.resolve_ref(ref) if ref else self.state.parent)
@@ -236,6 +241,9 @@ class Repo:
         parent = snapshots.where(F.col("hash") == tip).first()["parent_hash"] if amend else tip
         row = self._snapshot(manifest, message.strip(), self.state.branch, parent, now=now)
         changed = {"snapshots": snapshots.unionByName(row), "trash": self.table("trash").where(F.col("branch") != self.state.branch)}
+        if {"mtime_ns", "size"} <= set(working.columns):
+            seen = working.select(normal_path(F.col("path")).alias("path"), "mtime_ns", "size").join(manifest, "path")
+            changed["index_cache"] = changes.upserted(self.table("index_cache"), seen.join(files.select("path", "hash"), ["path", "hash"], "left_semi"), KEYS["index_cache"])
         if amend:
             rest = snapshots.where(F.col("hash") != tip)
             moved = F.when(F.col("parent_hash") == tip, F.lit(self._last)).otherwise(F.col("parent_hash"))
