@@ -10,14 +10,17 @@ regions that share a hash with another one, or have it twice, can hold repeated
   text, of which a suffix array (induced sorting) and permuted common prefixes give the
   repeated windows.
 * Where one hash has more than ``HOT_BYTES`` of regions, for example a passage that very
-  many documents share between different neighbours, its windows are counted by digest
-  instead, which needs no group in one task.
+  many documents share between different neighbours, its regions are split by where the
+  128 bytes stand in the window: windows that have them in one half of the places share
+  more bytes, by which they are filed anew.  Halves are halved until no group is too large;
+  a half that occurs twice as a whole is repeated, and one copy of it goes on.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -148,47 +151,94 @@ def repeated_ranges(docs: DataFrame, text_col: str = "text", length: int = LENGT
     found = once.join(wanted, "key").select("text", "want")
     cut = staged(found.mapInPandas(cut_out, "fp long, rd long, alone boolean, hot boolean, data binary"), "cut")
 
-    shards = max(1, -(-(needed.where(~F.col("hot")).agg(F.sum("size")).first()[0] or 0) // SHARD_BYTES))
-
-    def pairs(flag: np.ndarray) -> list[int]:
+    cold = cut.where(~F.col("hot")).select(F.col("fp").alias("g"), F.col("rd").alias("k"), "fp", "rd", F.lit(0).alias("lo"), "alone", "data")
+    ready, repeated = [cold], []
+    rows = staged(cut.where("hot").mapInPandas(_by_place(length), PIECE), "pieces")
+    while rows.limit(1).count():
+        rows = staged(rows.mapInPandas(_halves(length), PIECE), "pieces")
+        n = F.sum(F.when(F.col("alone"), 1).otherwise(2)).alias("n")
+        copies = rows.groupBy("g", "k").agg(n, F.min(F.struct("fp", "rd", "lo", "a", "b", "at", "data")).alias("x"))
+        copies = staged(copies.select("g", "k", "x.*", (F.col("n") == 1).alias("alone")), "copies")
+        twice = copies.where("not alone").select("g", "k")
+        last = F.col("lo") + F.octet_length("data") - length
+        repeated.append(rows.where("alone").join(twice, ["g", "k"], "left_semi").select("rd", "fp", F.array("lo", last).alias("ranges")))
+        sizes = copies.groupBy("g").agg(F.count(F.lit(1)).alias("kinds"), F.max("alone").alias("open"), F.sum(F.octet_length("data")).alias("bytes"))
+        sizes = sizes.where("open and kinds > 1").select("g", (F.col("bytes") > HOT_BYTES).alias("hot"))
+        left = staged(copies.join(sizes, "g"), "left")
+        ready.append(left.where("not hot").select(*cold.columns))
+        rows = left.where("hot").select(*rows.columns)
+
+    whole_text = reduce(DataFrame.unionByName, ready)
+    total = whole_text.agg(F.sum(F.octet_length("data"))).first()[0] or 0
+    shards = max(1, -(-total // SHARD_BYTES))
+
+    def pairs(flag: np.ndarray, lo: int) -> list[int]:
         edge = np.flatnonzero(np.diff(np.concatenate([[0], flag.view(np.int8), [0]])))
         edge[1::2] -= 1
-        return edge.tolist()
+        return (edge + lo).tolist()
 
     def shard(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["fp", "rd"], kind="stable")
+        group = group.sort_values(["g", "k"], kind="stable")
         flags = repeated_starts(list(group["data"]), length)
         out = [
-            (rd, fp, pairs(f[: len(d) - length + 1]))
-            for rd, fp, alone, d, f in zip(group["rd"], group["fp"], group["alone"], group["data"], flags)
+            (rd, fp, pairs(f[: len(d) - length + 1], lo))
+            for rd, fp, lo, alone, d, f in zip(group["rd"], group["fp"], group["lo"], group["alone"], group["data"], flags)
             if alone and f.any()
         ]
         return pd.DataFrame(out, columns=["rd", "fp", "ranges"])
 
-    schema = "rd long, fp long, ranges array<int>"
-    cold = cut.where(~F.col("hot")).withColumn("shard", F.pmod(F.xxhash64("fp"), F.lit(shards))).groupBy("shard").applyInPandas(shard, schema)
+    sharded = whole_text.withColumn("shard", F.pmod(F.xxhash64("g"), F.lit(shards))).groupBy("shard").applyInPandas(shard, "rd long, fp long, ranges array<int>")
+    some = reduce(DataFrame.unionByName, repeated, sharded).groupBy("rd", "fp").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
+    whole = kinds.where("n > 1").select("rd", "fp", F.lit(None).cast("array<int>").alias("ranges"))
+    marked = staged(some.unionByName(whole), "marked")
+    places = at.select("key", "fp", "rd").distinct()
+    return places.join(marked, ["fp", "rd"]).groupBy("key").agg(F.collect_list(F.struct("fp", "rd", "ranges")).alias("found"))
+
+
+#: A piece of the region (fp, rd): its windows from ``lo`` on, which have the 128 bytes, ``at`` bytes
+#: after the piece's start, at a place from ``a`` to ``b``; group and digest; whether its region is alone.
+PIECE = "g long, k long, fp long, rd long, lo int, a int, b int, at int, alone boolean, data binary"
+_PIECE_COLUMNS = [c.split()[0] for c in PIECE.split(", ")]
+
+
+def _by_place(length: int):
+    """Regions as pieces whose windows all have their smallest hash at one place of the text, the first if it is there twice."""
 
-    def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            out = []
             for fp, rd, alone, data in zip(batch["fp"], batch["rd"], batch["alone"], batch["data"]):
-                for lo in range(0, len(data) - length + 1, 4096):
-                    offsets = range(lo, min(lo + 4096, len(data) - length + 1))
-                    w = [_digest(data[o : o + length]) for o in offsets]
-                    yield pd.DataFrame({"fp": fp, "rd": rd, "at": list(offsets), "w": w, "n": 1 if alone else 2})
+                places = np.flatnonzero(_gram_hashes(np.frombuffer(data, np.uint8)) == _U(fp))
+                first = 0
+                for p in places.tolist():
+                    last = min(p, len(data) - length)
+                    if first <= last:
+                        out.append((fp, rd, fp, rd, first, 0, length - GRAM, p - first, alone, data[first : last + length]))
+                    first = last + 1
+            yield pd.DataFrame(out, columns=_PIECE_COLUMNS)
 
-    each = staged(cut.where("hot").mapInPandas(windows, "fp long, rd long, at int, w long, n int"), "windows")
-    twice = each.groupBy("fp", "w").agg(F.sum("n").alias("total")).where("total > 1").select("fp", "w")
-    hits = each.where("n = 1").join(twice, ["fp", "w"], "left_semi")
+    return run
 
-    def spans(offsets):  # ascending offsets to pairs of first and last
-        edge = lambda d: F.filter(offsets, lambda x, i: F.coalesce(F.get(offsets, i + d) != x + d, F.lit(True)))
-        return F.flatten(F.zip_with(edge(-1), edge(1), lambda a, b: F.array(a, b)))
 
-    hot = hits.groupBy("rd", "fp").agg(F.sort_array(F.collect_list("at")).alias("o")).select("rd", "fp", spans(F.col("o")).alias("ranges"))
-    whole = kinds.where("n > 1").select("rd", "fp", F.lit(None).cast("array<int>").alias("ranges"))
-    marked = staged(cold.unionByName(hot).unionByName(whole), "marked")
-    places = at.select("key", "fp", "rd").distinct()
-    return places.join(marked, ["fp", "rd"]).groupBy("key").agg(F.collect_list(F.struct("fp", "rd", "ranges")).alias("found"))
+def _halves(length: int):
+    """Each piece as up to two, by the halves of the places from ``a`` to ``b``; filed under the bytes that all windows of a half share."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for fp, rd, lo, a, b, at, alone, data in zip(*(batch[c] for c in ("fp", "rd", "lo", "a", "b", "at", "alone", "data"))):
+                least = at - (len(data) - length)  # the place in the last window
+                mid = (a + b) // 2
+                for x, y in ((a, mid), (mid + 1, b)):
+                    high, low = min(y, at), max(x, least)
+                    if x > y or low > high:
+                        continue
+                    part = data[at - high : at - low + length]
+                    g = _digest(b"%d %d %d " % (fp, x, y) + data[at - x : at - y + length])
+                    out.append((g, _digest(b"%d " % high + part), fp, rd, lo + at - high, x, y, high, alone, part))
+            yield pd.DataFrame(out, columns=_PIECE_COLUMNS)
+
+    return run
 
 
 def dedup(docs: DataFrame, text_col: str = "text", length: int = LENGTH) -> DataFrame:
