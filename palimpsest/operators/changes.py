@@ -6,7 +6,7 @@ once, keyed by ``keys`` besides the path.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..model import or_empty
@@ -23,16 +23,26 @@ def compare(old: DataFrame, new: DataFrame, keys: list[str] | None = None) -> Da
     a = old.select(*on, F.col("hash").alias("o"))
     b = new.select(*on, F.col("hash").alias("n"))
     j = a.join(b, on, "full_outer").select(*on, or_empty(F.col("o")).alias("old_hash"), or_empty(F.col("n")).alias("new_hash"))
+    return j.withColumn("status", _status())
+
+
+def _status() -> Column:
     status = F.when(F.col("old_hash") == "", NEW).when(F.col("new_hash") == "", DELETED)
-    return j.withColumn("status", status.when(F.col("old_hash") != F.col("new_hash"), MODIFIED).otherwise("Same"))
+    return status.when(F.col("old_hash") != F.col("new_hash"), MODIFIED).otherwise("Same")
 
 
 def against_parent(snapshots: DataFrame, file_map: DataFrame) -> DataFrame:
-    """Every snapshot with a parent compared with it: (snapshot_hash, path, old_hash, new_hash, status)."""
-    s = snapshots.where("parent_hash <> ''").select(F.col("hash").alias("snapshot_hash"), "parent_hash")
-    new = file_map.join(s.select("snapshot_hash"), "snapshot_hash", "left_semi")
-    old = file_map.select(F.col("snapshot_hash").alias("parent_hash"), "path", "hash").join(s, "parent_hash").select("snapshot_hash", "path", "hash")
-    return compare(old, new, ["snapshot_hash"])
+    """Every snapshot with a parent compared with it: (snapshot_hash, path, old_hash, new_hash, status).
+
+    A manifest goes once to its own snapshot and once to each child; one aggregate by snapshot
+    and path puts both sides together, without joining manifests.
+    """
+    side = lambda at, own: F.struct(F.col(at).alias("at"), F.col("hash").alias("child"), F.lit(own).alias("own"))
+    sides = snapshots.where("parent_hash <> ''").select(F.explode(F.array(side("hash", True), side("parent_hash", False))).alias("x")).select("x.*")
+    rows = file_map.join(sides, F.col("snapshot_hash") == F.col("at"))
+    of = lambda own: or_empty(F.max(F.when(F.col("own") == own, F.col("hash"))))
+    both = rows.groupBy(F.col("child").alias("snapshot_hash"), "path").agg(of(False).alias("old_hash"), of(True).alias("new_hash"))
+    return both.withColumn("status", _status())
 
 
 def manifests_of(pairs: DataFrame, side: str, file_map: DataFrame, keys: list[str]) -> DataFrame:

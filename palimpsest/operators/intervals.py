@@ -18,11 +18,25 @@ def overlapping(s1: Column, e1: Column, s2: Column, e2: Column) -> Column:
     )
 
 
+#: Lines in a bin of the join of ranges.
+BIN = 256
+
+
 def overlaps(ranges: DataFrame) -> DataFrame:
-    """Pairs of one path's ours and theirs ranges that overlap: an equi-join on the path with a condition."""
-    side = lambda s: ranges.where(F.col("side") == s).select("path", F.col("start").alias(f"{s}_start"), F.col("end").alias(f"{s}_end"))
+    """Pairs of one path's ours and theirs ranges that overlap: an equi-join on path and bin with a condition.
+
+    Both ranges of a pair hold the later of their starts, so the pair is taken in its bin and
+    nowhere else; a path with very many ranges spreads over its bins.
+    """
+    place = lambda c: F.floor(c / BIN)
+
+    def side(s: str) -> DataFrame:
+        bins = F.explode(F.sequence(place(F.col("start")), place(F.col("end")))).alias("bin")
+        return ranges.where(F.col("side") == s).select("path", bins, F.col("start").alias(f"{s}_start"), F.col("end").alias(f"{s}_end"))
+
     meet = overlapping(F.col("ours_start"), F.col("ours_end"), F.col("theirs_start"), F.col("theirs_end"))
-    return side("ours").join(side("theirs"), "path").where(meet)
+    here = F.col("bin") == place(F.greatest("ours_start", "theirs_start"))
+    return side("ours").join(side("theirs"), ["path", "bin"]).where(here & meet).drop("bin")
 
 
 def coalesced(ranges: DataFrame, keys: list[str]) -> DataFrame:

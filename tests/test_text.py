@@ -104,6 +104,23 @@ def test_grep_context_and_errors(spark):
             search.grep(df, bad)
 
 
+def test_overlaps_across_bins(spark):
+    import random
+
+    r = random.Random(7)
+    rows = [("p", r.choice(["ours", "theirs"]), s, s + r.choice([0, 1, 5, 300, 2000])) for s in (r.randrange(1500) for _ in range(60))]
+    rows += [("p", "ours", 256, 256), ("p", "theirs", 0, 256), ("p", "theirs", 256, 256), ("p", "ours", 255, 257), ("q", "theirs", 0, 9)]
+
+    def meet(a, b, c, d):
+        if a == b or c == d:
+            return a == c if a == b and c == d else c <= a <= d if a == b else a <= c <= b
+        return a < d and c < b
+
+    want = sorted((p, a, b, c, d) for p, s, a, b in rows for q, t, c, d in rows if p == q and s == "ours" and t == "theirs" and meet(a, b, c, d))
+    df = spark.createDataFrame(rows, "path string, side string, start int, end int")
+    assert sorted(map(tuple, intervals.overlaps(df).collect())) == want
+
+
 def test_touching_ranges(spark):
     df = spark.createDataFrame([("a", 0, 2), ("a", 2, 3), ("a", 5, 5), ("a", 6, 7)], "k string, start int, end int")
     assert sorted(map(tuple, intervals.coalesced(df, ["k"]).collect())) == [("a", 0, 3), ("a", 5, 5), ("a", 6, 7)]
