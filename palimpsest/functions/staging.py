@@ -25,9 +25,21 @@ def shared_dir(spark: SparkSession) -> str:
     return _own[0]
 
 
+def _root(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/palimpsest/{spark.sparkContext.applicationId}"
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read back: a lost executor costs no recomputation."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/palimpsest/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """``df`` written to the shared folder and read back: a lost executor costs no recomputation.
+
+    The tables stand in a folder named by the application and go with :func:`release`.
+    """
+    path = f"{_root(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete every table this application staged, once its results are written.  Results read from them end too."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(_root(spark))
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

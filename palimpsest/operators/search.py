@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import IllegalArgumentException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -13,10 +15,10 @@ from ..model import InvalidInput
 
 
 def checked(pattern: str, ignore_case: bool = False) -> str:
-    """The pattern, if it is a valid regular expression without look-around or back references."""
+    """The pattern, if the engine that will run it accepts it and it has no look-around or back references."""
     try:
-        re.compile(pattern)
-    except re.error as e:
+        SparkSession.active()._jvm.java.util.regex.Pattern.compile(pattern)
+    except (IllegalArgumentException, Py4JJavaError) as e:
         raise InvalidInput(f"bad pattern: {e}") from e
     if re.search(r"\(\?<?[=!]|\\[1-9]", pattern):
         raise InvalidInput("look-around and back references are not supported")

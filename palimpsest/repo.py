@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.text import digest, is_binary, normal_path, short_date, short_id, stored_text, under_any
-from .model import DECISIONS, DELETED_PREFIX, KEYS, SCHEMAS, STASH_BRANCH, AlreadyInitialized, CorruptRepo, InvalidInput, NestedRepo, NotARepo, snapshot_id
+from .model import DECISIONS, DELETED_PREFIX, KEYS, SCHEMAS, STASH_BRANCH, AlreadyInitialized, CorruptRepo, InvalidInput, NestedRepo, NotARepo, or_empty, snapshot_id
 from .operators import ancestry, changes, refs, retention, search, textdiff, threeway
 
 MAIN = "main"
@@ -76,7 +76,9 @@ class Repo:
     def table(self, name: str) -> DataFrame:
         at = f"{self.path}/tables/{name}/{self.state.tables[name]}"
         if name not in APPENDED:
-            return self.spark.read.schema(SCHEMAS[name]).parquet(at)
+            df = self.spark.read.schema(SCHEMAS[name]).parquet(at)
+            # Tables from before merges were recorded lack the column, which then reads as null.
+            return df.withColumn("merge_parent", or_empty(F.col("merge_parent"))) if "merge_parent" in df.columns else df
         return self.spark.read.schema(f"{SCHEMAS[name]}, commit bigint").parquet(at).where(F.col("commit") <= self.version).drop("commit")
 
     def _columns(self, name: str) -> list[str]:

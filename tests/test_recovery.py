@@ -122,6 +122,17 @@ def test_trees_of_folders(spark, repo, tmp_path):
     assert repo.save(t, "tree", now=NOW)["new"] == 2 and repo.status(t).count() == 0
 
 
+def test_tables_without_a_later_column(spark, repo, tmp_path):
+    h = repo.save(tree(spark, a="1"), "one", now=NOW)["hash"]
+    at = f"{repo.path}/tables/snapshots/{repo.state.tables['snapshots']}"
+    old = spark.createDataFrame(repo.table("snapshots").drop("merge_parent").collect())
+    old.write.mode("overwrite").parquet(at)
+    again = Repo(spark, repo.path)
+    assert again.table("snapshots").first()["merge_parent"] == ""
+    again.save(tree(spark, a="2"), "two", now=NOW)
+    assert [(r["parent_hash"], r["merge_parent"]) for r in again.table("snapshots").orderBy("seq").collect()] == [("", ""), (h, "")]
+
+
 def test_short_forms(spark):
     df = spark.createDataFrame([("0123456789abcdef", NOW, 1536)], "h string, at timestamp, n long")
     got = df.select(text.short_id(F.col("h")), text.short_date(F.col("at")), text.kilobytes(F.col("n"))).first()

@@ -99,7 +99,7 @@ def test_grep_context_and_errors(spark):
     got = search.grep_context(df, "hit", 2).orderBy("line_no").collect()
     assert [r["line_no"] for r in got] == [1, 2, 3, 4, 5, 6, 7, 10, 11, 12, 13, 14]
     assert [r["line_no"] for r in got if r["new_block"]] == [1, 10] and [r["line_no"] for r in got if r["is_match"]] == [3, 5, 12]
-    for bad in ("(", "(?=x)", r"(a)\1"):
+    for bad in ("(", "(?=x)", r"(a)\1", "(?P<name>x)"):
         with pytest.raises(InvalidInput):
             search.grep(df, bad)
 
