@@ -2,61 +2,21 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.staging import release, shared_dir, staged  # noqa: F401  for the operators beside
+
 #: White space of the word rules: space and the ASCII controls 0x09 to 0x0D.
 WS_CHARS = " \t\n\x0b\x0c\r"
-_own_dir: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Where it is unset, a local session gets a temporary folder; a cluster session
-    gets an error, because executors would not see a machine-local folder.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found
-    if not spark.sparkContext.master.startswith("local["):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    if not _own_dir:
-        _own_dir.append(tempfile.mkdtemp(prefix="palimpsest-"))
-        atexit.register(shutil.rmtree, _own_dir[0], ignore_errors=True)
-    return _own_dir[0]
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet in the shared folder and read back.
-
-    Cuts the lineage; a lost executor costs a reread and no recomputation.  The tables
-    live under a folder named by the application and go with :func:`release`.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/palimpsest/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Delete every table this application staged.  Results read from them end too."""
-    root = f"{shared_dir(spark)}/palimpsest/{spark.sparkContext.applicationId}"
-    jvm, path = spark._jvm, spark._jvm.org.apache.hadoop.fs.Path(root)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    del jvm
-
-
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` evaluated once, also inside lambdas of ``body``."""
     return F.element_at(F.transform(F.array(value), body), 1)
@@ -112,7 +72,10 @@ def prefix_sums(numbers: Column, block: int = 256) -> Column:
 
 
 def bounded_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Let Arrow batches hold at most ``rows`` rows, so that very long texts fit a worker."""
+    """Let Arrow batches hold at most ``rows`` rows, so that very long texts fit a worker.
+
+    The setting stays with the session: plans read it when they run, after the call has ended.
+    """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key, "10000")) > rows:
         spark.conf.set(key, str(rows))
