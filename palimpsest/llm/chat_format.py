@@ -146,6 +146,7 @@ def format_turns(turns: DataFrame, role_col: str = "role", content_col: str = "t
     The content is a string, or an array of structs (type, text, ref, width, height,
     seconds, pages; any may be missing).  A null content is an empty text, a null role an
     empty name.  Row by row, no shuffle; a conversation is ``<s>`` and its segments in order.
+    The loss mask of an assistant's turn is its whole escaped text, placeholders included.
     Input columns named like new ones are replaced.
     """
     typed = isinstance(turns.schema[content_col].dataType, T.ArrayType)
@@ -163,7 +164,9 @@ def digests(segments: DataFrame, conv_col: str = "conv_id", turn_col: str = "tur
 
     Rows go by (turn, segment); equal rows all count.  The segments of a conversation pass
     one task in order, but as a stream: what is held is one batch and the running digests,
-    so a conversation may have any number of turns.
+    so a conversation may have any number of turns.  Parsing them one by one gives what
+    parsing the whole conversation gives: a segment ends with a whole control string, and no
+    control string goes on after the end of another, so none forms across a border.
     """
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

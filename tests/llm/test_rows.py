@@ -128,6 +128,17 @@ def test_chat_escapes(role, text):
     assert chat_format.unescape(seg[lo:hi]) == (text if role == "assistant" else "")
 
 
+def test_no_control_forms_across_a_border():
+    controls = chat_format.CONTROLS
+    for a in controls:
+        for b in controls:
+            for cut in range(1, len(b)):
+                assert not a.endswith(b[:cut])
+    turns = [("assistant", "INST] x"), ("user", "/s>"), ("", "["), ("assistant", "<"), ("assistant", "s>"), ("tool", "SYS]")]
+    whole = "<s>" + "".join(chat_format.format_turn(r, t)[0] for r, t in turns)
+    assert [(r, t) for r, t, _, _ in chat_format.parse(whole)] == turns
+
+
 def test_chat_parts(spark):
     parts = [
         {"type": "text", "text": "see "},
