@@ -39,6 +39,8 @@ IDF_BUCKETS = 1 << 16
 PARTS = 128
 UNIT = 8  # sums are kept as whole eighths, rounded up
 PIECE = 1 << 20
+#: Bits of the filter of ids, at most.
+MOST_BITS = 1 << 28
 _U = np.uint64
 
 
@@ -174,6 +176,23 @@ def _narrow(df: DataFrame, name: str) -> DataFrame:
     return staged(df.coalesce(max(1, n // 8)), name)
 
 
+def _place(n_bits: int) -> Column:
+    return F.pmod(F.xxhash64("id"), F.lit(n_bits))
+
+
+def id_bits(ids: DataFrame) -> np.ndarray:
+    """Words of 64 bits, with the bits at the places of ``ids`` (column id) set: an id whose bit is not set is none of them.
+
+    About one bit in sixteen is set; above 2^24 ids more are, and more other ids pass.
+    """
+    n_bits = max(64, min(1 << (16 * ids.count()).bit_length(), MOST_BITS))
+    bit = F.expr("shiftleft(1L, cast(place & 63 as int))")
+    words = ids.select(_place(n_bits).alias("place")).groupBy(F.expr("place >> 6").alias("word")).agg(F.bit_or(bit).alias("bits")).toPandas()
+    out = np.zeros(n_bits // 64, np.int64)
+    out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
+    return out
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, comp): the smallest id that each end of ``edges`` (a, b) is connected with.
 
@@ -278,25 +297,34 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
     member = staged(some.select("id", "digest").join(first, "digest").groupBy("id").agg(F.min("rep").alias("rep")), "members")
 
     heads = some.join(first.select(F.col("rep").alias("id"), "digest"), ["id", "digest"], "left_semi").dropDuplicates(["id"])
-    keyed = heads.select("id", "weight", "parts", F.explode("bands").alias("key"))
-    groups = keyed.select("key", "id").groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    # Only ids and keys are dealt out twelve times; weights follow for the ids that share a band.
+    keyed = heads.select("id", F.explode("bands").alias("key"))
+    groups = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     shared = staged(keyed.join(groups, "key"), "shared")
+    wanted = _narrow(shared.select("id").distinct(), "wanted")
+    measured = heads.select("id", "weight", "parts").join(wanted, "id", "left_semi")
     # Documents that meet the most others stand first.
     rank = shared.groupBy("id").agg((-F.sum("size")).alias("rank"))
     ranked = shared.join(rank, "id")
     first_of = ranked.groupBy("key").agg(F.min(F.struct("rank", "id")).alias("h")).select("key", F.col("h.id").alias("head"))
-    bucket = staged(ranked.join(first_of, "key"), "buckets")
+    bucket = staged(ranked.join(first_of, "key").join(measured, "id"), "buckets")
 
-    def vectorise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for i, t in zip(b["id"], b["text"]):
-                h, n = shingles(t)
-                out.append((i, h.tobytes(), n.astype(np.uint32).tobytes() if (n > 1).any() else None))
-            yield pd.DataFrame(out, columns=["id", "h", "n"])
+    # Texts stay where they are read: ids that cannot be wanted go before the shuffle, which has vectors only.
+    bits = spark.sparkContext.broadcast(id_bits(wanted))
+    n_bits = 64 * len(bits.value)
 
-    wanted = bucket.select("id").distinct()
-    vectors = staged(rows.join(wanted, "id", "left_semi").mapInPandas(vectorise, "id long, h binary, n binary").dropDuplicates(["id"]), "vectors")
+    def vectorise(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            place = b.column("place").to_numpy()
+            b = b.filter(pa.array((bits.value[place >> 6] >> (place & 63)) & 1 == 1))
+            found = [shingles(t) for t in b.column("text").to_pylist()]
+            counts = [n.astype(np.uint32).tobytes() if (n > 1).any() else None for _, n in found]
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([h.tobytes() for h, _ in found], pa.binary()), pa.array(counts, pa.binary())], names=["id", "h", "n"])
+
+    passed = rows.withColumn("place", _place(n_bits)).mapInArrow(vectorise, "id long, h binary, n binary")
+    vectors = staged(passed.join(wanted, "id", "left_semi").dropDuplicates(["id"]), "vectors")
 
     comp: DataFrame | None = None
     level = 0

@@ -8,7 +8,7 @@ import random
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from palimpsest.llm import decontaminate, language_id, mixing
+from palimpsest.llm import decontaminate, language_id, mixing, near_dup
 from palimpsest.llm.queries import QUERIES
 
 FOREIGN = {
@@ -143,3 +143,27 @@ def test_secret_samples_read_whole_texts_and_repeats_once(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     tokens = [r["token"] for r in secret_scan.labelled_samples(docs, "text", "doc_id").where("label = 0").collect()]
     assert "tailword" in tokens and tokens.count("same") == 1
+
+
+def test_near_duplicates_shuffle_no_texts(spark, sf, monkeypatch):
+    """Texts become vectors before anything is dealt out, and weights are not copied to every band."""
+    plans, real = {}, near_dup.staged
+
+    def spy(df, name):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        return real(df, name)
+
+    monkeypatch.setattr(near_dup, "staged", spy)
+    rows = [(k, "one two three four five six seven eight " * (1 + k // 4)) for k in range(8)] + [(9, "a b c d e f"), (10, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in near_dup.classes(df).collect()}
+    assert len(got) == 10 and got[3] == got[0] and got[7] == got[4] and got[9] == 9 and got[10] == 10
+    join, made = plans["vectors"].index("Join"), plans["vectors"].index("MapInArrow")
+    assert join < made and "Join" not in plans["vectors"][made:] and "parts" not in plans["shared"].split("Join")[0]
+    generated = [line for line in plans["shared"].splitlines() if "Generate" in line]
+    assert generated and all("parts" not in line and "weight" not in line for line in generated)
+    for n in (0, 1, 1000):
+        words = near_dup.id_bits(spark.range(n))
+        bits = 64 * len(words)
+        place = [r["p"] for r in spark.range(n).select(near_dup._place(bits).alias("p")).collect()]
+        assert all(words[p >> 6] >> (p & 63) & 1 for p in place) and sum(int(w).bit_count() for w in words.view("uint64")) <= n
