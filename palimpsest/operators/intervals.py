@@ -40,9 +40,16 @@ def overlaps(ranges: DataFrame) -> DataFrame:
 
 
 def coalesced(ranges: DataFrame, keys: list[str]) -> DataFrame:
-    """Ranges of each key merged where they overlap or touch: (*keys, start, end)."""
-    order = W.partitionBy(*keys).orderBy("start", "end")
+    """Ranges of each key merged where they overlap or touch: (*keys, start, end).
+
+    Equal ranges share an island whatever their order: its number counts all breaks up to and among
+    them.  Nulls come last, so that an open end hides none; a range that lacks a bound and begins an
+    island stays by itself.
+    """
+    order = W.partitionBy(*keys).orderBy(F.col("start").asc_nulls_last(), F.col("end").asc_nulls_last())
     reach = F.max("end").over(order.rowsBetween(W.unboundedPreceding, -1))
-    island = F.sum(F.when(F.col("start") <= F.col("reach"), 0).otherwise(1)).over(order.rowsBetween(W.unboundedPreceding, 0))
-    r = ranges.withColumn("reach", reach).withColumn("island", island)
-    return r.groupBy(*keys, "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island")
+    begins = F.when(F.col("start") <= F.col("reach"), 0).otherwise(1)
+    island = F.sum("begins").over(order.rangeBetween(W.unboundedPreceding, W.currentRow))
+    alone = F.when((F.col("begins") == 1) & (F.col("start").isNull() | F.col("end").isNull()), F.row_number().over(order))
+    r = ranges.withColumn("reach", reach).withColumn("begins", begins).withColumn("alone", alone).withColumn("island", island)
+    return r.groupBy(*keys, "island", "alone").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island", "alone")

@@ -124,3 +124,19 @@ def test_overlaps_across_bins(spark):
 def test_touching_ranges(spark):
     df = spark.createDataFrame([("a", 0, 2), ("a", 2, 3), ("a", 5, 5), ("a", 6, 7)], "k string, start int, end int")
     assert sorted(map(tuple, intervals.coalesced(df, ["k"]).collect())) == [("a", 0, 3), ("a", 5, 5), ("a", 6, 7)]
+
+
+def test_coalesced_ranges_with_nulls_and_ties(spark, tmp_path):
+    """As in the SQL, which puts nulls last; with one thread it keeps ties in one order."""
+    import duckdb
+
+    from palimpsest.plans import catalog
+
+    lines = [(1, 2, None), (1, 2, 3), (1, 9, 1), (1, 9, 1), (2, None, 1), (2, None, 1), (2, None, None), (2, 7, 2), (3, 4, None), (3, 4, None), (3, 5, 2), (None, 1, 1)]
+    df = spark.createDataFrame([(k, p, s, 1) for k, p, s in lines], "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int")
+    df.coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    c = duckdb.connect(config={"threads": 1})
+    c.sql(f"create view lineitem as from '{tmp_path}/lineitem.parquet/*.parquet'")
+    want = sorted(map(repr, c.sql(catalog.ORACLE_SQL["interval_coalesce"]).fetchall()))
+    got = catalog.QUERIES["interval_coalesce"](spark, str(tmp_path)).select("path", "side", "start", "end_").collect()
+    assert sorted(repr(tuple(r)) for r in got) == want
