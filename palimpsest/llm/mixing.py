@@ -5,6 +5,9 @@ gives every document without a known domain a posterior over domains.  Projected
 rate >= 0 per document such that the expected tokens of each domain, the sum over documents
 of rate x tokens x posterior, match the targets in the sense of least squares.  A step needs
 the domain totals only, one aggregate over all documents; rates stay in the table.
+
+Where domains are known and the posterior is to count all the same (``both``), the totals by
+label and the totals by posterior are brought to the targets together.
 """
 
 from __future__ import annotations
@@ -13,6 +16,7 @@ import math
 import warnings
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -167,6 +171,87 @@ def fit_rates(members: DataFrame, targets: list[float], budget: float | None = N
     return Rates(now.drop("before"), reached, want, steps)
 
 
+#: Weights of the distance from rates of 1 beside a miss of a label's or a posterior's total, which bound
+#: the steps where not all totals can be met; a label's is met first.
+SLACK = 1e-8, 1e-7
+#: Totals by label and posterior are summed in whole fractions of this many to a token.
+PARTS = 1 << 20
+
+
+def fit_both(members: DataFrame, targets: list[float]) -> Rates:
+    """``members`` (n_tokens, posterior, __place, any others) with ``rate``; both kinds of totals reached.
+
+    ``__place`` is the number of a row's known domain from 1, or 0: then its posterior counts in the
+    totals by label too.  Sought are the rates >= 0 nearest to 1, squares weighted by tokens, with
+    which the domains' totals by label and those by posterior both have the shares ``targets``.
+    They are max(0, 1 - the row's memberships x the summed steps), so that a step is one aggregate:
+    the totals, which give the gradient, and the products of memberships over the rows above 0,
+    in whose metric it descends.  A step that does not lower the dual value is damped.
+    """
+    k, weight = len(targets), sum(targets)
+    if k == 0 or weight <= 0 or min(targets) < 0:
+        raise ValueError("targets must be weights, at least one of them positive")
+    place = F.col("__place")
+    # A row stands once for each weight, so that the sums are k + 1 columns and not one for every pair.
+    weights = F.expr("concat(array(n_tokens * rate, free), transform(posterior, v -> free * v))")
+    sums = [F.expr(f"sum(bigint(rint(w{x} * {PARTS})))").alias(f"s{n}") for n, x in enumerate(["", *[f" * get(posterior, {j})" for j in range(k)]])]
+
+    def rate(pull: np.ndarray) -> Column:
+        # As arrays, so that the code of a step is that of the last one and need not be compiled again.
+        array = lambda v: F.split(F.lit(",".join(map(repr, v.tolist()))), ",").cast("array<double>")
+        dot = lambda v: F.aggregate(F.zip_with("posterior", array(v), lambda a, b: a * b), F.lit(0.0), lambda s, a: s + a)
+        known = F.get(array(pull[:k]), place - 1)
+        return F.greatest(F.lit(0.0), F.lit(1.0) - F.when(place > 0, known + dot(pull[k:])).otherwise(dot(pull[:k] + pull[k:])))
+
+    def at(pull: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        """Totals by label and posterior, their derivatives, and the dual value without its targets."""
+        df = members.select("n_tokens", "posterior", "__place", rate(pull).alias("rate"))
+        df = df.withColumn("free", F.expr("if(rate > 0, double(n_tokens), 0)"))
+        df = df.select("posterior", "__place", F.posexplode(weights).alias("m", "w"))
+        total, slope, read = np.zeros(2 * k), np.zeros((2 * k, 2 * k)), 0.0
+        for p, m, *got in df.groupBy("__place", "m").agg(*sums).collect():
+            v = np.array([(g or 0) / PARTS for g in got])
+            if m == 0:
+                read += v[0]
+                total[k:] += v[1:]
+                total[p - 1 if p else slice(k)] += v[0] if p else v[1:]
+            elif m == 1 and p:
+                slope[p - 1, p - 1] += v[0]
+                slope[p - 1, k:] += v[1:]
+                slope[k:, p - 1] += v[1:]
+            elif m > 1:
+                slope[k + m - 2, k:] += v[1:]
+                if not p:
+                    slope[m - 2] += np.tile(v[1:], 2)
+                    slope[k + m - 2, :k] += v[1:]
+        # Tokens x rate^2, summed, is what is read less its part in the steps, as the rate is 1 less those or 0.
+        return total, slope, (read - float(pull @ total)) / 2
+
+    pull, steps, damp = np.zeros(2 * k), 0, 0.0
+    total, slope, half = at(pull)
+    start, tokens = total, float(total[k:].sum())
+    if tokens <= 0:
+        return Rates(members.withColumn("rate", F.lit(1.0)), [0.0] * 2 * k, [0.0] * 2 * k, 0)
+    want = np.tile([tokens * t / weight for t in targets], 2)
+    slack = np.repeat(SLACK, k) * tokens / k
+    off = lambda t: float(np.abs(t - want).max())
+    value = lambda v, h: h + float(want @ v) + float((slack * v * v).sum()) / 2
+    best = off(total), pull, total
+    while steps < MAX_STEPS and off(total) > TOLERANCE * want.max():
+        down = total - want - slack * pull
+        move = np.linalg.solve(slope + np.diag(slack + damp * np.maximum(start, tokens * 1e-6)), down)
+        steps += 1
+        there, slope_there, half_there = at(pull + move)
+        if off(there) < best[0]:
+            best = off(there), pull + move, there
+        elif value(pull + move, half_there) > value(pull, half) - 1e-4 * float(down @ move):
+            damp = max(4 * damp, 1e-5)
+            continue
+        pull, total, slope, half = pull + move, there, slope_there, half_there
+        damp = damp / 10 if damp > 1e-7 else 0.0
+    return Rates(members.withColumn("rate", rate(best[1])), best[2].tolist(), want.tolist(), steps)
+
+
 def mix(
     docs: DataFrame,
     labelled: DataFrame,
@@ -176,6 +261,7 @@ def mix(
     id_col: str = "doc_id",
     known: bool = True,
     keep: bool = False,
+    both: bool = False,
 ) -> DataFrame:
     """One row for each row of ``docs``: id, n_tokens, domain, membership, rate, copies, residual.
 
@@ -187,7 +273,14 @@ def mix(
     it, unless ``known`` is false.  ``targets`` default to equal weights of all domains that
     have tokens.  Without labelled rows, or on an empty table, every rate is 1.  With ``keep``
     all columns of ``docs`` stand before the new ones, but for those that clash with them.
+
+    With ``both`` every row gets its posterior, whether its domain is known or not, and the rates
+    bring the totals by known domain and the totals by posterior to the targets (``fit_both``).
+    ``domain`` is then the known one, if there is one, ``membership`` its posterior, and
+    ``residual`` the largest miss of either kind.  Domains have to have a word in ``labelled``.
     """
+    if both:
+        labelled = labelled.where(F.col(text_col).rlike(r"[^\x20\x09-\x0D]"))
     model = fit(labelled, text_col, domain_col, id_col if id_col in labelled.columns else None)
     new = ["n_tokens", "domain", "membership", "rate", "copies", "residual"]
     own = [c for c in docs.columns if c.lower() not in new] if keep else [id_col]
@@ -198,24 +291,31 @@ def mix(
         none = [F.lit(None).cast("string").alias("domain"), F.lit(None).cast("double").alias("membership")]
         ones = [F.lit(1.0).alias("rate"), F.lit(1).cast("long").alias("copies"), F.lit(0.0).alias("residual")]
         return base.select(*own, tokens.alias("n_tokens"), *none, *ones)
-    found = memberships(base, model, "__text", "__label" if labels else None).drop("__text", "__label")
+    names = F.array(*[F.lit(d) for d in model.domains])
+    if both:
+        place = F.coalesce(F.array_position(names, F.col("__label").cast("string")), F.lit(0)) if labels else F.lit(0)
+        found = memberships(base, model, "__text").withColumn("__place", place.cast("int")).drop("__text", "__label")
+    else:
+        found = memberships(base, model, "__text", "__label" if labels else None).drop("__text", "__label")
     members = staged(found, "members")
     if targets is None:
-        sums = members.agg(*[F.max((F.col("n_tokens") > 0) & (F.get("posterior", j) > 0)) for j in range(len(model.domains))]).first()
+        in_it = lambda j: F.when(F.col("__place") > 0, F.col("__place") == j + 1).otherwise(F.get("posterior", j) > 0) if both else F.get("posterior", j) > 0
+        sums = members.agg(*[F.max((F.col("n_tokens") > 0) & in_it(j)) for j in range(len(model.domains))]).first()
         want = [float(bool(x)) for x in sums]
         want = want if any(want) else [1.0] * len(want)
     else:
         want = [float(targets.get(d, 0.0)) for d in model.domains]
-    fitted = fit_rates(members, want)
+    fitted = (fit_both if both else fit_rates)(members, want)
     if not fitted.converged:
         warnings.warn(f"targets missed by up to {fitted.residual:.2g} of the largest after {fitted.steps} steps", stacklevel=2)
-    names = F.array(*[F.lit(d) for d in model.domains])
     best = F.array_position("posterior", F.array_max("posterior")).cast("int") - 1
+    if both:
+        best = F.when(F.col("__place") > 0, F.col("__place") - 1).otherwise(best)
     return fitted.rows.select(
         *own,
         "n_tokens",
         F.get(names, best).alias("domain"),
-        F.array_max("posterior").alias("membership"),
+        F.get("posterior", best).alias("membership"),
         "rate",
         F.floor(F.col("rate") + sha_uniform(F.col("__id"), "copies")).alias("copies"),
         F.lit(fitted.residual).alias("residual"),
@@ -224,4 +324,4 @@ def mix(
 
 def mixing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return mix(docs, docs, domain_col="source")
+    return mix(docs, docs, domain_col="source", both=True)

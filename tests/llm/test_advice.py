@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -76,6 +77,46 @@ def test_mixing_brings_sources_to_their_targets(spark, sf):
         assert len(got) > 1 and all(abs(r["t"] - mean) < 1e-3 * mean for r in got)
 
 
+def test_mixing_brings_posteriors_to_their_targets_too(spark, sf):
+    """The query: every row has its posterior, and the rates differ within a source."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = mixing.fit(docs, "text", "source", "doc_id")
+    soft = mixing.memberships(docs.select("doc_id", "source", "text"), model).select("doc_id", "source", "posterior")
+    for out in (QUERIES["op1_mixing"](spark, sf),):
+        rows = out.select("doc_id", "n_tokens", "domain", "membership", "rate", "residual").join(soft, "doc_id").collect()
+        totals = [sum(r["n_tokens"] * r["rate"] * r["posterior"][j] for r in rows) for j in range(len(model.domains))]
+        mean = sum(totals) / len(totals)
+        assert all(abs(t - mean) < 1e-3 * mean for t in totals) and all(r["residual"] <= mixing.TOLERANCE for r in rows)
+        assert all(r["domain"] == r["source"] and abs(r["membership"] - r["posterior"][model.domains.index(r["source"])]) < 1e-9 for r in rows)
+        assert len({round(r["rate"], 6) for r in rows if r["source"] == "src0"}) > 1
+
+
+def test_both_totals_of_odd_tables(spark):
+    """Rows without source count by posterior in either total; the rates are the nearest to 1."""
+    rows = [(k, f"a a b {'ab c'[k % 3 :]}", "hot") for k in range(6)] + [(k, f"c {'cd a'[k % 4 :]}", "cold") for k in range(10, 14)] + [(20, "a c d", None), (21, None, "hot"), (22, "", "none"), (None, "b b", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("place", F.lit("x"))
+    out = {r["doc_id"]: r for r in mixing.mix(df, df, {"hot": 1.0, "cold": 1.0}, domain_col="source", keep=True, both=True).collect()}
+    model = mixing.fit(df.where("text <> ''"), "text", "source", "doc_id")
+    soft = {r["doc_id"]: r["posterior"] for r in mixing.memberships(df, model).collect()}
+    assert len(out) == len(rows) and model.domains == ["cold", "hot"] and all(r["place"] == "x" for r in out.values())
+    n = np.array([r["n_tokens"] for r in out.values()], float)
+    x = np.array([soft[k] for k in out])
+    h = np.array([[float(d == r["source"]) for d in model.domains] if r["source"] in model.domains else soft[k] for k, r in out.items()])
+    rate = np.array([r["rate"] for r in out.values()])
+    want = n.sum() * np.array([1, 1]) / 2
+    for m in (h, x):
+        assert np.abs((n * rate) @ m - want).max() < 1e-3 * want.max()
+    # What is added to 1 is a sum of the memberships wherever the rate is above 0.
+    m, some = np.hstack([h, x]), rate > 0
+    fit = np.linalg.lstsq(m[some], 1 - rate[some], rcond=None)[0]
+    assert np.abs(m[some] @ fit - (1 - rate[some])).max() < 1e-4 and (m[~some] @ fit >= 1 - 1e-4).all()
+    again = {r["doc_id"]: r["rate"] for r in mixing.mix(df.repartition(3), df.repartition(2), {"hot": 1.0, "cold": 1.0}, domain_col="source", both=True).collect()}
+    assert again == {k: r["rate"] for k, r in out.items()}
+    assert mixing.mix(df.limit(0), df, domain_col="source", both=True).count() == 0
+    assert {r["rate"] for r in mixing.mix(df, df.limit(0), domain_col="source", both=True).collect()} == {1.0}
+    assert {r["rate"] for r in mixing.mix(df.where("doc_id in (21, 22)"), df, domain_col="source", both=True).collect()} == {1.0}
+
+
 def test_mixing_with_rows_of_unknown_source(spark):
     rows = [(1, "a a a a", "hot"), (2, "a a b", "hot"), (3, "c c", "cold"), (4, "c c c", None), (5, None, "empty"), (6, "a c", "new")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
