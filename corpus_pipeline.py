@@ -37,11 +37,11 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with the rates and copies that bring the sources to equal token totals.
+    """The documents with the rates and copies that bring the sources to equal token totals, by label and by posterior.
 
     A row says how often its text is to be read (``copies``, 0 for not at all); the rows stay.
     """
-    return mixing.mix(docs, docs, domain_col="source", keep=True)
+    return mixing.mix(docs, docs, domain_col="source", keep=True, both=True)
 
 
 STAGES = [

@@ -78,11 +78,12 @@ def test_mixing_brings_sources_to_their_targets(spark, sf):
 
 
 def test_mixing_brings_posteriors_to_their_targets_too(spark, sf):
-    """The query: every row has its posterior, and the rates differ within a source."""
+    """Query and pipeline: every row has its posterior, and the rates differ within a source."""
     docs = spark.read.parquet(f"{sf}/documents.parquet")
+    stage = dict(corpus_pipeline.STAGES)["mixing"]
     model = mixing.fit(docs, "text", "source", "doc_id")
     soft = mixing.memberships(docs.select("doc_id", "source", "text"), model).select("doc_id", "source", "posterior")
-    for out in (QUERIES["op1_mixing"](spark, sf),):
+    for out in (QUERIES["op1_mixing"](spark, sf), stage(spark, docs, sf)):
         rows = out.select("doc_id", "n_tokens", "domain", "membership", "rate", "residual").join(soft, "doc_id").collect()
         totals = [sum(r["n_tokens"] * r["rate"] * r["posterior"][j] for r in rows) for j in range(len(model.domains))]
         mean = sum(totals) / len(totals)
