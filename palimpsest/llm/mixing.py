@@ -28,6 +28,10 @@ SAMPLE_PER_DOMAIN = 400
 MAX_DOMAINS = 64
 #: A text's evidence counts like that of at most this many words, which keeps membership soft.
 EVIDENCE_WORDS = 25.0
+#: Log likelihoods are whole numbers of this many to 1; two of their sums stand in one long.
+UNITS = 100_000
+HALF_BITS = 31
+HALF = (1 << HALF_BITS) - 1
 TOLERANCE = 1e-4
 MAX_STEPS = 60
 STEPS_PER_TABLE = 12
@@ -38,8 +42,37 @@ def _buckets(text: Column) -> Column:
     return F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(BUCKETS)).cast("int"))
 
 
-def _looked_up(buckets: Column, table: Column) -> Column:
-    return F.aggregate(buckets, F.lit(0.0), lambda acc, b: acc + F.get(table, b))
+def _paired(spark: SparkSession, tables: list[list[float]]) -> tuple[Column, int]:
+    """The tables in whole ``UNITS`` above each bucket's least entry, two to a long; how many entries add up without a carry.
+
+    A value from a table of its own, as a literal of this size is written out in the plan again and again.
+    """
+    parts = np.rint(np.array(tables) * UNITS).astype(np.int64)
+    parts -= parts.min(axis=0)
+    pairs = [parts[j] + (parts[j + 1] << HALF_BITS) if j + 1 < len(parts) else parts[j] for j in range(0, len(parts), 2)]
+    text = F.lit(";".join(",".join(map(str, pair.tolist())) for pair in pairs))
+    rows = spark.range(1, numPartitions=1).select(F.transform(F.split(text, ";"), lambda t: F.split(t, ",").cast("array<bigint>")).alias("pairs"))
+    return staged(rows, "tables").scalar(), HALF // max(1, int(parts.max()))
+
+
+def _sums(buckets: Column, paired: Column, block: int, n: int) -> Column:
+    """The sums of ``n`` tables over the buckets in whole ``UNITS``, all less by one number: an array of long.
+
+    A word costs half as many steps as there are tables; ``block`` words are added at a time.
+    """
+    zero, low = F.lit(0).cast("long"), F.lit(HALF)
+
+    def added(blocks: Column, table: Column) -> Column:
+        return F.transform(blocks, lambda bs: F.aggregate(bs, zero, lambda acc, b: acc + F.get(table, b)))
+
+    def half(sums: Column, j: int) -> Column:
+        one = lambda v: F.shiftright(v, HALF_BITS) if j % 2 else v.bitwiseAND(low)
+        return F.aggregate(F.get(sums, j // 2), zero, lambda acc, v: acc + one(v))
+
+    last = F.floor(F.greatest(F.size(buckets) - 1, F.lit(0)) / F.lit(block)).cast("int")
+    blocks = F.transform(F.sequence(F.lit(0), last), lambda c: F.slice(buckets, c * block + 1, F.lit(block)))
+    pairs = let(blocks, lambda bs: F.transform(paired, lambda t: added(bs, t)))
+    return let(pairs, lambda sums: F.array(*[half(sums, j) for j in range(n)]))
 
 
 class Classifier:
@@ -68,8 +101,10 @@ def fit(labelled: DataFrame, text_col: str, domain_col: str, id_col: str | None
     for d, n in sizes.items():
         draw = draw | ((F.col("d") == d) & (sha_uniform(F.struct("t", "r"), "mixing") < per_domain / n))
     drawn = rows.where(draw).groupBy("d", F.xxhash64("t", "r").alias("h")).agg(F.min("t").alias("t"))
-    counts = drawn.select("d", F.explode(_buckets(F.col("t"))).alias("b")).groupBy("d", "b").count().collect()
-    n = {(r["d"], r["b"]): r["count"] for r in counts}
+    counts = drawn.select("d", F.explode(_buckets(F.col("t"))).alias("b")).groupBy("d", "b").count()
+    # One text for each domain: a row for every count would take the driver's memory.
+    lists = counts.groupBy("d").agg(F.array_join(F.collect_list(F.concat_ws(":", "b", "count")), ",").alias("n")).collect()
+    n = {(r["d"], int(b)): int(c) for r in lists for b, c in (x.split(":") for x in r["n"].split(","))}
     tables = []
     for d in domains:
         total = sum(n.get((d, b), 0) for b in range(BUCKETS)) + 0.1 * BUCKETS
@@ -86,20 +121,21 @@ def memberships(docs: DataFrame, model: Classifier, text_col: str = "text", labe
     """
     names = F.array(*[F.lit(d) for d in model.domains])
     place = F.lit(0) if label_col is None else F.coalesce(F.array_position(names, F.col(label_col).cast("string")), F.lit(0))
-    constants = [F.split(F.lit(",".join(map(repr, t))), ",").cast("array<double>") for t in model.tables]
+    prior, (paired, block) = F.array(*[F.lit(p) for p in model.prior]), _paired(docs.sparkSession, model.tables)
 
-    def logits(bs: Column) -> Column:
+    def logits(bs: Column, pairs: Column) -> Column:
         scale = F.least(F.lit(1.0), F.lit(EVIDENCE_WORDS) / F.greatest(F.size(bs), F.lit(1)))
-        sums = [_looked_up(bs, c) for c in constants]
-        return F.struct(F.size(bs).cast("long").alias("n"), F.when(place == 0, F.array(*[s * scale + F.lit(p) for s, p in zip(sums, model.prior)])).alias("z"))
+        z = F.zip_with(_sums(bs, pairs, block, len(model.domains)), prior, lambda s, p: s / F.lit(float(UNITS)) * scale + p)
+        return F.struct(F.size(bs).cast("long").alias("n"), F.when(place == 0, z).alias("z"))
 
     def soft(z: Column) -> Column:
         return let(F.transform(z, lambda v: F.exp(v - F.array_max(z))), lambda e: let(F.aggregate(e, F.lit(0.0), lambda a, v: a + v), lambda t: F.transform(e, lambda v: v / t)))
 
-    d = docs.withColumn("__m", let(_buckets(F.col(text_col)), logits))
+    # Spark takes no subquery as an argument here; its optimizer puts the column in, which is named once, and copies no table into rows.
+    d = docs.withColumn("__pairs", paired).withColumn("__m", let(F.col("__pairs"), lambda pairs: let(_buckets(F.col(text_col)), lambda bs: logits(bs, pairs))))
     known = F.transform(F.sequence(F.lit(1), F.lit(len(model.domains))), lambda j: (j == place).cast("double"))
     posterior = F.when(place > 0, known).otherwise(let(F.col("__m.z"), soft))
-    return d.withColumn("n_tokens", F.col("__m.n")).withColumn("posterior", posterior).drop("__m")
+    return d.withColumn("n_tokens", F.col("__m.n")).withColumn("posterior", posterior).drop("__m", "__pairs")
 
 
 @dataclass

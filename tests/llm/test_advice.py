@@ -209,3 +209,20 @@ def test_near_duplicates_shuffle_no_texts(spark, sf, monkeypatch):
         bits = 64 * len(words)
         place = [r["p"] for r in spark.range(n).select(near_dup._place(bits).alias("p")).collect()]
         assert all(words[p >> 6] >> (p & 63) & 1 for p in place) and sum(int(w).bit_count() for w in words.view("uint64")) <= n
+
+
+def test_posteriors_of_many_domains_without_their_tables_in_the_plan(spark):
+    """Texts longer than one block of words as plain sums; tables written into the plan took the driver's memory."""
+    rng = np.random.default_rng(5)
+    tables = [[round(float(x), 5) for x in -12 * rng.random(mixing.BUCKETS)] for _ in range(21)]
+    model = mixing.Classifier([f"s{j:02}" for j in range(21)], [-3.0] * 21, tables)
+    words = [f"w{i * i % 977}" for i in range(5000)]
+    df = spark.createDataFrame([(n, " ".join(words[:n])) for n in (0, 1, 30, 1789, 5000)], "n int, text string")
+    out = mixing.memberships(df, model)
+    mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    assert len(out._jdf.queryExecution().explainString(mode)) < 100_000
+    place = {r["w"]: r["b"][0] for r in spark.createDataFrame([(w,) for w in set(words)], "w string").select("w", mixing._buckets(F.col("w")).alias("b")).collect()}
+    for r in out.collect():
+        z = np.array([sum(t[place[w]] for w in words[: r["n"]]) for t in tables]) * min(1.0, mixing.EVIDENCE_WORDS / max(r["n"], 1))
+        e = np.exp(z - z.max())
+        assert r["n_tokens"] == r["n"] and np.allclose(r["posterior"], e / e.sum(), atol=1e-9)
