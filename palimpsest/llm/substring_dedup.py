@@ -14,28 +14,37 @@ regions that share a hash with another one, or have it twice, can hold repeated
   128 bytes stand in the window: windows that have them in one half of the places share
   more bytes, by which they are filed anew.  Halves are halved until no group is too large;
   a half that occurs twice as a whole is repeated, and one copy of it goes on.
+
+A passage of more than 50 words may have fewer than ``LENGTH`` bytes, so that nothing of it is
+removed.  Beside the removal, ``n_shared_words`` counts the words of all runs of ``WORDS`` words that
+another row has too.  Such runs are filed under the smallest hash of their ``WORD_GRAM``-word
+substrings; those under a hash of two texts or more are compared by 64-bit hashes of all their words.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import reduce
+from functools import cache, reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, map_rows, staged
+from .common import WS_CHARS, bounded_batches, map_rows, staged
 from .suffix_array import repeated_starts
 
 LENGTH = 400
 GRAM = 128
+WORDS = 51
+WORD_GRAM = 8
 SHARD_BYTES = 1_000_000
 HOT_BYTES = 200_000
 CHUNK = 1 << 20
+WORD_CHUNK = 1 << 16
 _U = np.uint64
+_SPACE = np.isin(np.arange(256), np.frombuffer(WS_CHARS.encode(), np.uint8))
 _BYTE = np.random.default_rng(99).integers(1, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
 
 
@@ -83,6 +92,63 @@ def regions(b: np.ndarray, length: int = LENGTH) -> Iterator[tuple[int, int, int
         at, chunk = at + int(ends[-1]) + 1, CHUNK
 
 
+@cache
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` powers of an odd number modulo 2^64, and their inverses."""
+    one = 0x9E3779B97F4A7C15
+    base = np.array([[one], [pow(one, -1, 1 << 64)]], np.uint64).repeat(n, axis=1)
+    base[:, 0] = 1
+    return tuple(np.cumprod(base, axis=1, dtype=np.uint64))
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> _U(32))) * _U(0xD6E8FEB86659FD93)
+    return h ^ (h >> _U(32))
+
+
+def word_hashes(b: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the words in order; a text is read in chunks, a word longer than one by its digest."""
+    gap = np.ones(len(b) + 2, bool)
+    gap[1:-1] = _SPACE[b]
+    edges = np.flatnonzero(gap[1:] != gap[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    out, lo = np.empty(len(starts), np.uint64), 0
+    while lo < len(starts):
+        at = int(starts[lo])
+        hi = int(np.searchsorted(ends, at + WORD_CHUNK, side="right"))
+        if hi == lo:
+            out[lo] = _digest(b[at : int(ends[lo])].tobytes()) % (1 << 64)
+            lo += 1
+            continue
+        stop = int(ends[hi - 1])
+        up, down = _powers(1 << (stop - at).bit_length())
+        total = np.zeros(stop - at + 1, np.uint64)
+        np.cumsum(_BYTE[b[at:stop]] * up[: stop - at], out=total[1:])
+        s, e = starts[lo:hi] - at, ends[lo:hi] - at
+        out[lo:hi] = _mixed((total[e] - total[s]) * down[s])
+        lo = hi
+    return out
+
+
+def _run_hashes(h: np.ndarray, width: int) -> np.ndarray:
+    """64-bit hashes of all runs of ``width`` symbols, by doubling and, for the rest, two runs that overlap."""
+    k = 1
+    while k < width:
+        step = min(k, width - k)
+        h = _mixed(h[:-step] * _U(0x9E3779B97F4A7C15) + h[step:])
+        k += step
+    return h
+
+
+def _word_windows(data: bytes, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each run of ``words`` words the hash under which it is filed, and its own."""
+    h = word_hashes(np.frombuffer(data, np.uint8))
+    if len(h) < words:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    gram = min(WORD_GRAM, words)
+    return _window_minima(_run_hashes(h, gram), words - gram + 1).view(np.int64), _run_hashes(h, words).view(np.int64)
+
+
 def _digest(data: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little", signed=True)
 
@@ -96,8 +162,9 @@ def _with_key(docs: DataFrame, text_col: str) -> DataFrame:
     return docs.withColumn("__key", F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))))
 
 
-def repeated_ranges(docs: DataFrame, text_col: str = "text", length: int = LENGTH) -> DataFrame:
-    """(key, found): for each text digest the repeated windows as (hash, region, ranges).
+def repeated_ranges(docs: DataFrame, text_col: str = "text", length: int = LENGTH, words: int = WORDS) -> DataFrame:
+    """(key, found, shared): for each text digest the repeated windows as (hash, region, ranges), and
+    the number of words in runs of ``words`` words that another text has too.
 
     ``ranges`` are pairs of offsets of first and last windows in the region; null is all.
     """
@@ -116,7 +183,7 @@ def repeated_ranges(docs: DataFrame, text_col: str = "text", length: int = LENGT
                 out += [(key, fp, rd, n, size, twice) for (fp, rd), (n, size, twice) in seen.items()]
             yield pd.DataFrame(out, columns=["key", "fp", "rd", "n", "size", "twice"])
 
-    long_texts = texts.where(F.octet_length("text") >= length)
+    long_texts = texts.where(F.octet_length("text") >= min(length, 2 * words - 1))
     at = staged(long_texts.mapInPandas(list_regions, "key binary, fp long, rd long, n int, size int, twice boolean"), "regions")
     kinds = at.groupBy("fp", "rd").agg(
         F.sum("n").alias("n"), F.min("key").alias("key"), F.max("size").cast("long").alias("size"), F.max("twice").alias("twice")
@@ -128,19 +195,39 @@ def repeated_ranges(docs: DataFrame, text_col: str = "text", length: int = LENGT
     per = per.where(F.col("open") & ((F.col("kinds") > 1) | F.col("self"))).select("fp", (F.col("bytes") > HOT_BYTES).alias("hot"))
     needed = staged(kinds.join(per, "fp").select("fp", "rd", "n", "key", "size", "hot"), "needed")
 
-    # The bytes of one copy of every region that has to be looked at.
+    def list_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            grams = [np.unique(_word_windows(_bytes(t), words)[0]) for t in batch["text"]]
+            yield pd.DataFrame({"key": np.repeat(batch["key"].to_numpy(), [len(g) for g in grams]), "gram": np.concatenate([np.empty(0, np.int64), *grams])})
+
+    def of_two(rows: DataFrame, by: str) -> DataFrame:
+        k = F.xxhash64("key")
+        return rows.groupBy(by).agg(F.min(k).alias("a"), F.max(k).alias("b")).where("a < b").select(by)
+
+    grams = staged(long_texts.mapInPandas(list_grams, "key binary, gram long"), "grams")
+    asked = grams.join(of_two(grams, "gram"), "gram").groupBy("key").agg(F.collect_set("gram").alias("grams"))
+
+    # The bytes of one copy of every region that has to be looked at; every run of words that has to be.
     def cut_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for t, want in zip(batch["text"], batch["want"]):
-                data, left = _bytes(t), {(w["fp"], w["rd"]): w for w in want}
+            out, runs = [], []
+            for key, t, want, grams in zip(batch["key"], batch["text"], batch["want"], batch["grams"]):
+                data, left = _bytes(t), {(w["fp"], w["rd"]): w for w in ([] if want is None else want)}
+                if grams is not None:
+                    filed, own = _word_windows(data, words)
+                    at = np.flatnonzero(np.isin(filed, grams))
+                    runs.append(pd.DataFrame({"fp": own[at], "at": at, "key": key}))
+                if not left:
+                    continue
                 for s, e, fp, _ in regions(np.frombuffer(data, np.uint8), length):
                     w = left.pop((fp, _digest(data[s : e + length])), None) if any_of(left, fp) else None
                     if w:
-                        out.append((w["fp"], w["rd"], w["n"] == 1, w["hot"], data[s : e + length]))
+                        out.append((w["fp"], w["rd"], w["n"] == 1, w["hot"], data[s : e + length], -1, b""))
                     if not left:
                         break
-            yield pd.DataFrame(out, columns=["fp", "rd", "alone", "hot", "data"])
+            yield pd.DataFrame(out, columns=["fp", "rd", "alone", "hot", "data", "at", "key"])
+            if runs:
+                yield pd.concat(runs).assign(rd=0, alone=False, hot=False, data=b"")[["fp", "rd", "alone", "hot", "data", "at", "key"]]
 
     def any_of(left: dict, fp: int) -> bool:
         return any(k[0] == fp for k in left) if len(left) < 8 else True
@@ -148,8 +235,9 @@ def repeated_ranges(docs: DataFrame, text_col: str = "text", length: int = LENGT
     wanted = needed.groupBy("key").agg(F.collect_list(F.struct("fp", "rd", "n", "hot")).alias("want"))
     # One copy of each text, found before anything is moved: a task sends a text once, however many copies it has.
     once = long_texts.groupBy("key").agg(F.first("text").alias("text"))
-    found = once.join(wanted, "key").select("text", "want")
-    cut = staged(found.mapInPandas(cut_out, "fp long, rd long, alone boolean, hot boolean, data binary"), "cut")
+    found = once.join(wanted.join(asked, "key", "full"), "key").select("key", "text", "want", "grams")
+    cut = staged(found.mapInPandas(cut_out, "fp long, rd long, alone boolean, hot boolean, data binary, at int, key binary"), "cut")
+    runs, cut = cut.where("at >= 0").select("key", "fp", "at"), cut.where("at < 0").drop("at", "key")
 
     cold = cut.where(~F.col("hot")).select(F.col("fp").alias("g"), F.col("rd").alias("k"), "fp", "rd", F.lit(0).alias("lo"), "alone", "data")
     ready, repeated = [cold], []
@@ -192,7 +280,11 @@ def repeated_ranges(docs: DataFrame, text_col: str = "text", length: int = LENGT
     whole = kinds.where("n > 1").select("rd", "fp", F.lit(None).cast("array<int>").alias("ranges"))
     marked = staged(some.unionByName(whole), "marked")
     places = at.select("key", "fp", "rd").distinct()
-    return places.join(marked, ["fp", "rd"]).groupBy("key").agg(F.collect_list(F.struct("fp", "rd", "ranges")).alias("found"))
+    found = places.join(marked, ["fp", "rd"]).groupBy("key").agg(F.collect_list(F.struct("fp", "rd", "ranges")).alias("found"))
+    starts = runs.join(of_two(runs, "fp"), "fp").groupBy("key").agg(F.sort_array(F.collect_list("at")).alias("at"))
+    fresh = F.transform("at", lambda x, i: F.least(F.lit(words), F.coalesce(F.get("at", i + 1) - x, F.lit(words))))
+    shared = starts.select("key", F.aggregate(fresh, F.lit(0), lambda n, x: n + x).alias("shared"))
+    return found.join(shared, "key", "full")
 
 
 #: A piece of the region (fp, rd): its windows from ``lo`` on, which have the 128 bytes, ``at`` bytes
@@ -241,22 +333,28 @@ def _halves(length: int):
     return run
 
 
-def dedup(docs: DataFrame, text_col: str = "text", length: int = LENGTH) -> DataFrame:
-    """``docs`` with ``n_bytes``, ``n_removed``, ``n_spans``, ``kept`` (binary) and ``kept_sha256``.
+def dedup(docs: DataFrame, text_col: str = "text", length: int = LENGTH, words: int = WORDS) -> DataFrame:
+    """``docs`` with ``n_bytes``, ``n_removed``, ``n_spans``, ``kept`` (binary), ``kept_sha256`` and ``n_shared_words``.
 
     Every row gives a row.  A null text is empty; a text shorter than ``length`` loses
     nothing.  A row that stands twice repeats itself: both lose their long strings.  What
     remains of UTF-8 may start or end inside a character, hence the binary column.
+    ``n_shared_words`` removes nothing: it counts the words (by white space) in runs of ``words`` words
+    that stand in another row too.
     """
-    found = repeated_ranges(docs, text_col, length)
-    base = docs.drop("n_bytes", "n_removed", "n_spans", "kept", "kept_sha256", "found")
-    joined = _with_key(base, text_col).join(found.withColumnRenamed("key", "__key"), "__key", "left").drop("__key")
+    copied = _with_key(docs, text_col).groupBy("__key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("__key", F.lit(True).alias("copied"))
+    found = repeated_ranges(docs, text_col, length, words).withColumnRenamed("key", "__key").join(copied, "__key", "full")
+    base = docs.drop("n_bytes", "n_removed", "n_spans", "kept", "kept_sha256", "n_shared_words", "found", "shared", "copied")
+    joined = _with_key(base, text_col).join(found, "__key", "left").drop("__key")
 
     def start():
-        def one(text, found):
+        def one(text, found, shared, copied):
             data = _bytes(text)
+            if copied:
+                n = len(word_hashes(np.frombuffer(data, np.uint8)))
+                shared = n if n >= words else 0
             if not found:
-                return len(data), 0, 0, data, hashlib.sha256(data).hexdigest()
+                return len(data), 0, 0, data, hashlib.sha256(data).hexdigest(), shared or 0
             ranges = {(f["fp"], f["rd"]): f["ranges"] for f in found}
             step = np.zeros(len(data) + 1, np.int32)
             for s, e, fp, _ in regions(np.frombuffer(data, np.uint8), length):
@@ -269,14 +367,14 @@ def dedup(docs: DataFrame, text_col: str = "text", length: int = LENGTH) -> Data
             gone = np.cumsum(step[:-1]) > 0
             kept = np.frombuffer(data, np.uint8)[~gone].tobytes()
             spans = int(np.count_nonzero(gone[1:] & ~gone[:-1])) + int(gone[0])
-            return len(data), int(gone.sum()), spans, kept, hashlib.sha256(kept).hexdigest()
+            return len(data), int(gone.sum()), spans, kept, hashlib.sha256(kept).hexdigest(), shared or 0
 
-        return lambda texts, founds: [one(t, f) for t, f in zip(texts, founds)]
+        return lambda *columns: [one(*row) for row in zip(*columns)]
 
-    new = "n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string"
-    return map_rows(joined, [text_col, "found"], start, new, drop=("found",))
+    new = "n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string, n_shared_words long"
+    return map_rows(joined, [text_col, "found", "shared", "copied"], start, new, drop=("found", "shared", "copied"))
 
 
 def substring_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return dedup(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return dedup(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_shared_words")

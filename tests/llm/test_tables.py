@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import random
-from collections import Counter
+import re
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -64,6 +65,34 @@ def test_substring_dedup(spark, monkeypatch, hot):
     assert substring_dedup.dedup(df.limit(0)).count() == 0
 
 
+def _brute_shared(texts, n):
+    split = [re.findall(rb"[^ \t-\r]+", (t or "").encode()) for t in texts]
+    rows = defaultdict(set)
+    for i, w in enumerate(split):
+        for k in range(len(w) - n + 1):
+            rows[tuple(w[k : k + n])].add(i)
+    return [len({k + j for k in range(len(w) - n + 1) if len(rows[tuple(w[k : k + n])]) > 1 for j in range(n)}) for w in split]
+
+
+@pytest.mark.parametrize("chunk", [1 << 16, 9])
+def test_passages_of_over_50_words_under_400_bytes(spark, monkeypatch, chunk):
+    """A passage too short in bytes to be removed is told by its words: 51 or more, in another row."""
+    monkeypatch.setattr(substring_dedup, "WORD_CHUNK", chunk)
+    r = random.Random(5)
+    prose = lambda n: " ".join("".join(r.choice("abcdé") for _ in range(r.randrange(1, 7))) for _ in range(n))
+    passage, copy, junk = prose(55), prose(120), prose(3)
+    assert len(passage.encode()) < 400
+    texts = [f"{prose(r.randrange(1, 90))}\n{passage}\t{prose(r.randrange(1, 90))}" for _ in range(6)]
+    texts += [" ".join(passage.split()[a:b]) + " " + prose(20) for a, b in ((0, 50), (0, 51), (4, 55), (5, 55))]
+    texts += [copy, copy, copy + " é", prose(50), None, "", " \n ", f"{junk} " * 60, prose(200), passage.upper()]
+    texts += [f"{copy} {prose(9)} {passage} {copy}", "a " * 51, "a " * 30, "b" * 30 + " b" * 60]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x["doc_id"]: (x["n_removed"], x["n_shared_words"]) for x in substring_dedup.dedup(df).collect()}
+    want = _brute_shared(texts, 51)
+    assert [got[i][1] for i in range(len(texts))] == want
+    assert [got[i] for i in range(6)] == [(0, 55)] * 6 and want[6:10] == [0, 51, 51, 0]
+
+
 def test_regions_in_chunks(monkeypatch):
     r = random.Random(3)
     b = np.frombuffer(bytes(r.randrange(97, 101) for _ in range(5000)) + b"zy" * 3000, np.uint8)
