@@ -106,8 +106,8 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _U(32))
 
 
-def word_hashes(b: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the words in order; a text is read in chunks, a word longer than one by its digest."""
+def word_hashes(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words in order, and where they start; a text is read in chunks, a word longer than one by its digest."""
     gap = np.ones(len(b) + 2, bool)
     gap[1:-1] = _SPACE[b]
     edges = np.flatnonzero(gap[1:] != gap[:-1])
@@ -127,26 +127,38 @@ def word_hashes(b: np.ndarray) -> np.ndarray:
         s, e = starts[lo:hi] - at, ends[lo:hi] - at
         out[lo:hi] = _mixed((total[e] - total[s]) * down[s])
         lo = hi
-    return out
+    return out, starts
 
 
 def _run_hashes(h: np.ndarray, width: int) -> np.ndarray:
     """64-bit hashes of all runs of ``width`` symbols, by doubling and, for the rest, two runs that overlap."""
-    k = 1
-    while k < width:
-        step = min(k, width - k)
-        h = _mixed(h[:-step] * _U(0x9E3779B97F4A7C15) + h[step:])
-        k += step
-    return h
+    mul, k = 0x9E3779B97F4A7C15, 1
+    while 2 * k <= width:
+        h = h[:-k] * _U(mul) + h[k:]
+        mul = mul * mul % (1 << 64)
+        k *= 2
+    h, rest = _mixed(h), width - k
+    return _mixed(h[:-rest] * _U(0x9E3779B97F4A7C15) + h[rest:]) if rest else h
 
 
-def _word_windows(data: bytes, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each run of ``words`` words the hash under which it is filed, and its own."""
-    h = word_hashes(np.frombuffer(data, np.uint8))
+def _filed(h: np.ndarray, words: int) -> np.ndarray:
+    """For each run of ``words`` of the words ``h`` the hash under which it is filed."""
+    gram = min(WORD_GRAM, words)
+    return _window_minima(_run_hashes(h, gram), words - gram + 1).view(np.int64)
+
+
+def _grams(texts: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text, hash) for the hashes under which the texts' runs of words are filed; all texts at once."""
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    h, at = word_hashes(np.frombuffer(b"\n".join(texts), np.uint8))
     if len(h) < words:
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    gram = min(WORD_GRAM, words)
-    return _window_minima(_run_hashes(h, gram), words - gram + 1).view(np.int64), _run_hashes(h, words).view(np.int64)
+    text, filed = np.searchsorted(ends, at, side="right"), _filed(h, words)
+    first = text[: len(filed)]
+    new = np.ones(len(filed), bool)
+    new[1:] = (filed[1:] != filed[:-1]) | (first[1:] != first[:-1])
+    new &= first == text[words - 1 :]
+    return first[new], filed[new]
 
 
 def _digest(data: bytes) -> int:
@@ -197,37 +209,45 @@ def repeated_ranges(docs: DataFrame, text_col: str = "text", length: int = LENGT
 
     def list_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            grams = [np.unique(_word_windows(_bytes(t), words)[0]) for t in batch["text"]]
-            yield pd.DataFrame({"key": np.repeat(batch["key"].to_numpy(), [len(g) for g in grams]), "gram": np.concatenate([np.empty(0, np.int64), *grams])})
+            data, k, lo = [_bytes(t) for t in batch["text"]], batch["k"].to_numpy(), 0
+            while lo < len(data):
+                hi, size = lo, 0
+                while hi < len(data) and size < CHUNK:
+                    size, hi = size + len(data[hi]), hi + 1
+                text, gram = _grams(data[lo:hi], words)
+                yield pd.DataFrame({"k": k[lo:hi][text], "gram": gram})
+                lo = hi
 
     def of_two(rows: DataFrame, by: str) -> DataFrame:
-        k = F.xxhash64("key")
-        return rows.groupBy(by).agg(F.min(k).alias("a"), F.max(k).alias("b")).where("a < b").select(by)
+        return rows.groupBy(by).agg(F.min("k").alias("a"), F.max("k").alias("b")).where("a < b").select(by)
 
-    grams = staged(long_texts.mapInPandas(list_grams, "key binary, gram long"), "grams")
-    asked = grams.join(of_two(grams, "gram"), "gram").groupBy("key").agg(F.collect_set("gram").alias("grams"))
+    k = F.xxhash64("key").alias("k")
+    grams = staged(long_texts.select(k, "text").mapInPandas(list_grams, "k long, gram long"), "grams")
+    asked = grams.join(of_two(grams, "gram"), "gram").groupBy("k").agg(F.collect_set("gram").alias("grams"))
+    keys = long_texts.select("key", k).distinct()
+    asked = asked.join(keys, "k").select("key", "grams")
 
     # The bytes of one copy of every region that has to be looked at; every run of words that has to be.
     def cut_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out, runs = [], []
-            for key, t, want, grams in zip(batch["key"], batch["text"], batch["want"], batch["grams"]):
+            for k, t, want, grams in zip(batch["k"], batch["text"], batch["want"], batch["grams"]):
                 data, left = _bytes(t), {(w["fp"], w["rd"]): w for w in ([] if want is None else want)}
                 if grams is not None:
-                    filed, own = _word_windows(data, words)
-                    at = np.flatnonzero(np.isin(filed, grams))
-                    runs.append(pd.DataFrame({"fp": own[at], "at": at, "key": key}))
+                    h, _ = word_hashes(np.frombuffer(data, np.uint8))
+                    at = np.flatnonzero(np.isin(_filed(h, words), grams))
+                    runs.append((k, _run_hashes(h, words).view(np.int64)[at], at.astype(np.int32)))
                 if not left:
                     continue
                 for s, e, fp, _ in regions(np.frombuffer(data, np.uint8), length):
                     w = left.pop((fp, _digest(data[s : e + length])), None) if any_of(left, fp) else None
                     if w:
-                        out.append((w["fp"], w["rd"], w["n"] == 1, w["hot"], data[s : e + length], -1, b""))
+                        out.append((w["fp"], w["rd"], w["n"] == 1, w["hot"], data[s : e + length]))
                     if not left:
                         break
-            yield pd.DataFrame(out, columns=["fp", "rd", "alone", "hot", "data", "at", "key"])
-            if runs:
-                yield pd.concat(runs).assign(rd=0, alone=False, hot=False, data=b"")[["fp", "rd", "alone", "hot", "data", "at", "key"]]
+            regions_cut = pd.DataFrame(out, columns=["fp", "rd", "alone", "hot", "data"])
+            yield regions_cut.assign(k=0, runs=None, at=None)
+            yield pd.DataFrame(runs, columns=["k", "runs", "at"]).assign(fp=0, rd=0, alone=False, hot=False, data=None)[CUT_COLUMNS]
 
     def any_of(left: dict, fp: int) -> bool:
         return any(k[0] == fp for k in left) if len(left) < 8 else True
@@ -235,9 +255,10 @@ def repeated_ranges(docs: DataFrame, text_col: str = "text", length: int = LENGT
     wanted = needed.groupBy("key").agg(F.collect_list(F.struct("fp", "rd", "n", "hot")).alias("want"))
     # One copy of each text, found before anything is moved: a task sends a text once, however many copies it has.
     once = long_texts.groupBy("key").agg(F.first("text").alias("text"))
-    found = once.join(wanted.join(asked, "key", "full"), "key").select("key", "text", "want", "grams")
-    cut = staged(found.mapInPandas(cut_out, "fp long, rd long, alone boolean, hot boolean, data binary, at int, key binary"), "cut")
-    runs, cut = cut.where("at >= 0").select("key", "fp", "at"), cut.where("at < 0").drop("at", "key")
+    found = once.join(wanted.join(asked, "key", "full"), "key").select(k, "text", "want", "grams")
+    cut = staged(found.mapInPandas(cut_out, CUT), "cut")
+    runs = cut.where("runs is not null").select("k", F.inline(F.arrays_zip(F.col("runs").alias("run"), F.col("at").alias("at"))).alias("run", "at"))
+    cut = cut.where("runs is null").drop("k", "runs", "at")
 
     cold = cut.where(~F.col("hot")).select(F.col("fp").alias("g"), F.col("rd").alias("k"), "fp", "rd", F.lit(0).alias("lo"), "alone", "data")
     ready, repeated = [cold], []
@@ -281,12 +302,15 @@ def repeated_ranges(docs: DataFrame, text_col: str = "text", length: int = LENGT
     marked = staged(some.unionByName(whole), "marked")
     places = at.select("key", "fp", "rd").distinct()
     found = places.join(marked, ["fp", "rd"]).groupBy("key").agg(F.collect_list(F.struct("fp", "rd", "ranges")).alias("found"))
-    starts = runs.join(of_two(runs, "fp"), "fp").groupBy("key").agg(F.sort_array(F.collect_list("at")).alias("at"))
+    starts = runs.join(of_two(runs, "run"), "run").groupBy("k").agg(F.sort_array(F.collect_list("at")).alias("at"))
     fresh = F.transform("at", lambda x, i: F.least(F.lit(words), F.coalesce(F.get("at", i + 1) - x, F.lit(words))))
-    shared = starts.select("key", F.aggregate(fresh, F.lit(0), lambda n, x: n + x).alias("shared"))
-    return found.join(shared, "key", "full")
+    shared = starts.select("k", F.aggregate(fresh, F.lit(0), lambda n, x: n + x).alias("shared"))
+    return found.join(keys.join(shared, "k").select("key", "shared"), "key", "full")
 
 
+#: Regions (fp, rd), and the runs of words of the text k with their places.
+CUT = "fp long, rd long, alone boolean, hot boolean, data binary, k long, runs array<long>, at array<int>"
+CUT_COLUMNS = [c.split()[0] for c in CUT.split(", ")]
 #: A piece of the region (fp, rd): its windows from ``lo`` on, which have the 128 bytes, ``at`` bytes
 #: after the piece's start, at a place from ``a`` to ``b``; group and digest; whether its region is alone.
 PIECE = "g long, k long, fp long, rd long, lo int, a int, b int, at int, alone boolean, data binary"
@@ -351,7 +375,7 @@ def dedup(docs: DataFrame, text_col: str = "text", length: int = LENGTH, words:
         def one(text, found, shared, copied):
             data = _bytes(text)
             if copied:
-                n = len(word_hashes(np.frombuffer(data, np.uint8)))
+                n = len(word_hashes(np.frombuffer(data, np.uint8))[0])
                 shared = n if n >= words else 0
             if not found:
                 return len(data), 0, 0, data, hashlib.sha256(data).hexdigest(), shared or 0
